@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from .jaccard_join import op1_jaccard_join
+from .language_id import op4_language_id
+from .quality_rules import op10_quality_rules
+from .sentencepiece_bpe import op2_sentencepiece
+from .suffix_dedup import op3_suffix_dedup
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_jaccard_join, op2_sentencepiece, op3_suffix_dedup, op4_language_id, op10_quality_rules)
+}
 
 ORACLE_SQL: dict[str, str] = {}
