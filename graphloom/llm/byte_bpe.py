@@ -14,7 +14,8 @@ import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
-CACHE_WORDS = 300_000
+#: Distinct words in each of the two generations that a worker remembers.
+CACHE_WORDS = 250_000
 
 
 class ByteBpe:
@@ -27,16 +28,22 @@ class ByteBpe:
             raise ValueError("ids must fit 16 bits")
         self._later: dict[str, bytes] = {}  # after a space
         self._first: dict[str, bytes] = {}  # as a text starts
+        self._old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
-    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
+    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
+        """A cache that has all the words."""
         missing = [w for w in words if w not in cache]
         if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = list(words)
+            self._old[before], cache, missing = cache, {}, list(words)
+        old = self._old[before]
+        if old:
+            cache.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in cache]
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, dtype="<u2").tobytes()
+        return cache
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers; null is empty."""
@@ -55,9 +62,8 @@ class ByteBpe:
             first.add(parts[0])
             later.update(parts[1:])
             split.append(parts)
-        self._fill(self._first, first, "")
-        self._fill(self._later, later, " ")
-        a, b = self._first, self._later
+        a = self._first = self._fill(self._first, first, "")
+        b = self._later = self._fill(self._later, later, " ")
         return [a[p[0]] + b"".join([b[w] for w in p[1:]]) if p else b"" for p in split]
 
 

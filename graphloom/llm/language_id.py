@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,10 +205,18 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def recognised(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that language identification rejects go. Fitted on the labelled rows of the documents table."""
-    from .store import documents
+def _kept(model: Model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(np.arange(batch.num_rows))
+            pair = pa.RecordBatch.from_arrays([ids, batch.column(text_at)], ["id", "text"])
+            for got in _predicted(model)([pair]):
+                yield batch.take(got.column(0).filter(pa.compute.invert(got.column(3))))
 
-    verdict = predict(docs, fit(training_rows(documents(spark, sf_dir))))
-    gone = verdict.where("rejected").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return run
+
+
+def recognised(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that language identification rejects go; whole rows pass through one task, nothing is joined."""
+    model = fit(training_rows(docs))
+    return docs.mapInArrow(_kept(model, docs.columns.index("text")), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .suffix_dedup import merged, sliding_min
+from .suffix_dedup import merged, rewritten, sliding_min
 
 WINDOW = 3
 HELD_WINDOWS = 600_000
@@ -147,12 +147,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (counts, removed, runs)), pa.array(kept, pa.string())], ["id", "n_lines", "n_removed", "n_runs", "kept_text"])
 
 
+def line_ranges(texts: DataFrame, window: int) -> DataFrame:
+    """(doc, ranges): the lines of texts (id, text), counted over lines with a word, that are later occurrences."""
+    found = texts.mapInArrow(_found(window), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
+    return found.mapInArrow(_later(window), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id_col, n_lines, n_removed, n_runs, kept_text): lines with a word, those deleted, in how many runs, and the rest."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = source.where("id is not null")
-    found = texts.mapInArrow(_found(window), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
-    ranges = found.mapInArrow(_later(window), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
+    ranges = line_ranges(texts, window)
     joined = texts.join(ranges.hint("shuffle_hash"), texts["id"] == ranges["doc"], "left").select("id", "text", "ranges")
     rest = source.where("id is null").withColumn("ranges", F.lit(None).cast("array<struct<line:long,size:long>>"))
     return joined.union(rest).mapInArrow(_cut, "id long, n_lines long, n_removed long, n_runs long, kept_text string").withColumnRenamed("id", id_col)
@@ -166,9 +171,8 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later occurrences of runs of lines leave the texts; documents stay, if need be with an empty text."""
-    kept = line_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
-    out = docs.join(kept.hint("shuffle_hash"), "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
-    return out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    ranges = line_ranges(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), WINDOW)
+    return rewritten(docs, ranges, _cut)
 
 
 OP9_SQL = r"""

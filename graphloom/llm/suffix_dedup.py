@@ -339,14 +339,40 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return joined.union(rest).mapInArrow(_digested, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
 
 
-def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: 100-byte repeats leave the texts; characters that removal splits go as well."""
-    kept = suffix_dedup(docs)
-    changed = kept.where("n_removed > 0").select("doc_id", "kept").mapInArrow(_readable, "doc_id long, kept string")
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+def rewritten(docs: DataFrame, ranges: DataFrame, cut) -> DataFrame:
+    """docs with the (doc, ranges) cut out of their texts and n_chars to match; one join, and every column stays.
 
+    cut: batches (id, text, ranges) to batches that end with the remaining text or bytes.
+    """
+    names = docs.columns
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
-def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode(errors="ignore") for x in batch.column(1)], pa.string())], ["doc_id", "kept"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(np.arange(batch.num_rows))
+            text, found = batch.column(text_at), batch.column(len(names))
+            columns = [batch.column(i) for i in range(len(names))]
+            hit = np.flatnonzero(np.asarray(found.is_valid()) & np.asarray(text.is_valid()))
+            if len(hit):
+                pair = pa.RecordBatch.from_arrays([ids, text, found], ["id", "text", "ranges"]).take(pa.array(hit))
+                texts = text.to_pylist()
+                chars = columns[chars_at].to_pylist() if chars_at >= 0 else []
+                for got in cut([pair]):
+                    for r, kept in zip(got.column(0).to_pylist(), got.column(got.num_columns - 1).to_pylist(), strict=True):
+                        texts[r] = kept.decode(errors="ignore") if isinstance(kept, bytes) else kept
+                        if chars_at >= 0:
+                            chars[r] = len(texts[r])
+                columns[text_at] = pa.array(texts, text.type)
+                if chars_at >= 0:
+                    columns[chars_at] = pa.array(chars, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ranges = ranges.select(F.col("doc").alias("_ranges_of"), F.col("ranges").alias("_ranges"))
+    joined = docs.join(ranges.hint("shuffle_hash"), docs["doc_id"] == ranges["_ranges_of"], "left").select(*(docs[c] for c in names), "_ranges")
+    return joined.mapInArrow(run, docs.schema)
+
+
+def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: 100-byte repeats leave the texts; characters that removal splits go as well."""
+    found = repeats(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), 100)
+    return rewritten(docs, found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges")), _cut)
