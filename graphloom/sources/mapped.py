@@ -182,5 +182,5 @@ def auto_table(df: DataFrame, name: str, key: str, base: str, foreign: dict[str,
             properties[f"{base}{name}#{c}"] = Property(f"`{c}`" if kind not in ("float", "smallint", "tinyint") and not kind.startswith("decimal") else f"cast(`{c}` as {'double' if kind == 'float' or kind.startswith('decimal') else 'int'})", shape)
     if subject.shape.form == "iri" and subject.shape.type == "int":
         subject = Property(f"cast({subject.column} as bigint)", T.Shape("iri", subject.shape.extra, "bigint"))
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return Table(df, subject, properties, (f"{base}{name}",), size, {"unique": unique})
