@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct segments that a worker remembers.
+#: Distinct segments in each of the two generations that a worker remembers.
 CACHE_SEGMENTS = 300_000
 
 
@@ -76,6 +76,7 @@ class Codec:
         self.emit = [np.array([ids[p]] if p in ids else [self.byte_id[b] for b in p.encode()], dtype="<u4").tobytes() for p in order]
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         raw = [b"" if m.is_control(i) else " ⁇ ".encode() if m.is_unknown(i) else bytes([int(pieces[i][3:5], 16)]) if m.is_byte(i) else pieces[i].replace(MARK, " ").encode() for i in range(size)]
         self.raw = raw
         self.is_byte = np.array([m.is_byte(i) for i in range(size)])
@@ -128,11 +129,20 @@ class Codec:
         """Tokens of characters that all have a rank."""
         n = len(run)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        fits = self.fits
+        fits, known = self.fits, self._fits
         for end, (token, length) in self.automaton.iter(run):
-            start = end + 1 - length
-            if last[end + 1] < 0 and (start == 0 or last[start] >= 0 and fits(last[start], token)):
-                last[end + 1], back[end + 1] = token, start
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                ok = known.get(before << 20 | token)
+                if not (fits(before, token) if ok is None else ok):
+                    continue
+            last[end], back[end] = token, start
         out, at = [], n
         while at:
             out.append(last[at])
@@ -169,12 +179,15 @@ class Codec:
                 body = b"".join([cache[p] for p in parts])
             except KeyError:
                 if len(cache) > CACHE_SEGMENTS:
-                    cache.clear()
-                known = []
+                    self._old, self._cache = cache, {}
+                    cache = self._cache
+                known, old = [], self._old
                 for p in parts:
                     ids = cache.get(p)
                     if ids is None:
-                        ids = self.segment(MARK + p)
+                        ids = old.get(p)
+                        if ids is None:
+                            ids = self.segment(MARK + p)
                         if len(p) <= 64:
                             cache[p] = ids
                     known.append(ids)
