@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ class Value:
         letter = {"iri": "I", "blank": "B", "str": "L", "lang": "G", "num": "N", "bool": "O", "typed": "D"}
         if self.cls != "unknown":
             return F.when(self.col.isNotNull(), letter[self.cls])
-        return self._once("code", lambda: F.when(self.kind() != "D", self.kind()).when(self.truth().isNotNull(), "O").when(self.pure_number().isNotNull(), "N").otherwise("D"))
+        return self._once("code", lambda: F.when(self.col.isNull(), _NULL_STRING()).when(self.kind() != "D", self.kind()).when(self.truth().isNotNull(), "O").when(self.pure_number().isNotNull(), "N").otherwise("D"))
 
     def key(self) -> Column:
         if self.cls == "unknown":
@@ -316,9 +317,7 @@ def java_pattern(pattern: str, flags: str) -> str | None:
     sc = SparkContext._active_spark_context
     try:
         sc._jvm.java.util.regex.Pattern.compile(whole)
-    except Exception as e:
-        if "PatternSyntaxException" not in str(e):
-            raise
+    except IllegalArgumentException:
         return None
     return whole
 

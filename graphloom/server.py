@@ -74,8 +74,8 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
                 return self._fail(413, "body too large")
             body = self.rfile.read(size).decode() if post else ""
             if self.headers.get("Content-Type", "").startswith("application/x-www-form-urlencoded"):
-                given |= {k: v[0] for k, v in parse_qs(body).items()}
-                body = ""
+                form = {k: v[0] for k, v in parse_qs(body).items() if k in ("query", "update", "infer")}
+                given, body = given | form, "" if form else body  # some clients send bare text under this type
             infer = given.get("infer")
             try:
                 match url.path:
