@@ -17,8 +17,9 @@ with equal sets fall into one class and only classes are compared.
    as the larger of a pair, T = ceil(p/100 * size) lists must hold a partner.
    DivideSkip sets the L longest lists aside, merges the short ones, keeps sets
    found T-L times, then probes the long lists by binary search and keeps those
-   whose exact overlap fits the pair's own bound. Partners already in the same
-   local component need no probe.
+   whose exact overlap fits the pair's own bound. Sets around one centre are
+   linked to it first, and a list holds one posting for each component so far, so
+   a large group of near copies costs one posting a list, not one a member.
 3. *Components* of the links, by star contraction.
 
 Results for odd input: null text, empty text and text without words give 0
@@ -29,7 +30,6 @@ table gives an empty result. Other columns of the input are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +42,7 @@ from .components import components, forest
 from .store import written
 
 #: Shingles that a search holds at once; larger neighbourhoods are searched as pairs of blocks of this many.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def bands(limit: int, percent: int) -> list[int]:
@@ -141,25 +141,32 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: A group with so many links to one set is linked by comparing every set with that one, before lists are merged.
+PIVOT_LINKS = 8
+MOST_PIVOTS = 64
+#: Postings that are merged for a set before lists are set aside.
+MERGE_POSTINGS = 30_000
+
+
 def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """T-occurrence search: pairs of positions that connect all linked sets (a spanning forest of the links).
 
-    side: if given, only pairs of different sides are looked for.
+    side: if given, links inside one side need not be found.
     """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
-    sizes, sets = sizes[order], [sets[i] for i in order]
     side = side[order] if side is not None else None
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    by = np.argsort(flat, kind="stable")  # owners stay in order within a list
-    values, posting = flat[by], owner[by]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    length = np.diff(np.append(first, len(values)))
-    lists = np.empty(len(flat), dtype=np.int64)
-    lists[by] = np.repeat(np.arange(len(first)), length)
+    if not len(sets):
+        return []
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64), sizes)
+    values, lists = np.unique(flat, return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)))
+    length = np.bincount(lists, minlength=len(values))
     root = np.arange(len(sets))
+    found: list[tuple[int, int]] = []
+    mark = np.zeros(len(values), dtype=bool)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -167,51 +174,91 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             x = int(root[x])
         return x
 
-    found = []
+    def link(x: int, y: int) -> None:
+        a, b = find(x), find(y)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((int(order[x]), int(order[y])))
+
+    def bound(n: int, others: np.ndarray) -> np.ndarray:
+        return -(-percent * (n + others) // (100 + percent))
+
+    # groups around one set: every overlap with it in one pass
+    share = np.add.reduceat(length[lists] - 1, starts[:-1]) / sizes
+    share[share < PIVOT_LINKS / 2] = 0
+    for _ in range(MOST_PIVOTS):
+        p = int(share.argmax())
+        if share[p] == 0:
+            break
+        share[p] = 0
+        mark[lists[starts[p] : starts[p + 1]]] = True
+        overlap = np.add.reduceat(mark[lists], starts[:-1], dtype=np.int64)
+        mark[lists[starts[p] : starts[p + 1]]] = False
+        near = np.flatnonzero(overlap >= bound(int(sizes[p]), sizes))
+        for x in near:
+            link(p, int(x))
+        share[near] = 0
+        if len(near) < PIVOT_LINKS:
+            share[share <= share.max() / 2] = 0  # few such groups are left
+
+    # lists of components: one posting stands for all members of a component
+    top = np.array([find(x) for x in range(len(sets))])
+    members = np.argsort(top, kind="stable")
+    first_member = np.searchsorted(top[members], np.arange(len(sets) + 1))
+    pairs = np.unique(lists.astype(np.int64) * len(sets) + top[owner])
+    in_list, posting = pairs // len(sets), pairs % len(sets)
+    length = np.bincount(in_list, minlength=len(values))
+    first = np.concatenate(([0], np.cumsum(length)))
+
     for q in range(len(sets)):
         n = int(sizes[q])
         need = -(-percent * n // 100)
         own = lists[starts[q] : starts[q + 1]]
-        own_length = length[own]
-        shared = own[own_length > 1]
-        if len(shared) < need:
+        shared = own[length[own] > 1]
+        alone = len(own) - len(shared)  # lists of this component only
+        if n - alone < need:
             continue
         shared = shared[np.argsort(length[shared], kind="stable")]
-        longest = int(length[shared[-1]])
-        aside = min(need - 1, int(need / (0.01 * math.log2(longest) + 1)))  # DivideSkip's choice of L
-        aside = min(aside, len(shared))
+        # DivideSkip: lists are set aside, longest first, until merging the others is cheap
+        aside = min(need - 1, len(shared), int((np.cumsum(length[shared]) > MERGE_POSTINGS).sum()))
         short, long = shared[: len(shared) - aside], shared[len(shared) - aside :]
-        low = int(np.searchsorted(sizes, need))  # smaller sets cannot reach the overlap
         span = length[short]
-        index = np.repeat(first[short] - np.concatenate(([0], np.cumsum(span[:-1]))), span) + np.arange(int(span.sum()))
-        merged = posting[index]
-        merged = merged[(merged >= low) & (merged < q)]
-        if not len(merged):
-            continue
-        counts = np.bincount(merged - low, minlength=0)
+        index = np.repeat(first[short] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+        counts = np.bincount(posting[index], minlength=len(sets))
+        counts[top[q]] = 0
         some = np.flatnonzero(counts >= max(1, need - aside))
-        counts, some = counts[some], some + low
+        counts = counts[some]
+        for at in range(0, len(long), 8):  # probe the lists set aside, all candidates at once
+            if not len(some):
+                break
+            keys = long[at : at + 8, None] * len(sets) + some
+            place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+            counts = counts + (pairs[place] == keys).sum(axis=0)
+            open_ = counts + max(0, len(long) - at - 8) >= need
+            some, counts = some[open_], counts[open_]
+        # of a component of one set the count is the overlap itself
+        single = first_member[some + 1] - first_member[some] == 1
+        one, got = some[single], counts[single]
+        linked = (one < q) & (got >= bound(n, sizes[one]))
         if side is not None:
-            ok = side[some] != side[q]
-            counts, some = counts[ok], some[ok]
-        while len(some):
-            mine = find(q)
-            c, got = int(some[-1]), int(counts[-1])
-            some, counts = some[:-1], counts[:-1]
-            if find(c) == mine:
+            linked &= side[one] != side[q]
+        for x in one[linked].tolist():
+            link(q, x)
+        for c in some[~single].tolist():
+            if find(c) == find(q):
                 continue
-            bound = -(-percent * (n + int(sizes[c])) // (100 + percent))
-            if got + aside < bound:
+            those = members[first_member[c] : first_member[c + 1]]
+            those = those[(those < q) & (sizes[those] >= need)]
+            if side is not None:
+                those = those[side[those] != side[q]]
+            if len(those) == 0:
                 continue
-            for x in long:  # probe: is c in this list?
-                a, b = first[x], first[x] + length[x]
-                at = a + np.searchsorted(posting[a:b], c)
-                got += bool(at < b and posting[at] == c)
-                if got >= bound:
+            mark[own] = True
+            for x in those[::-1].tolist():
+                if int(mark[lists[starts[x] : starts[x + 1]]].sum()) >= -(-percent * (n + int(sizes[x])) // (100 + percent)):
+                    link(q, x)
                     break
-            if got >= bound:
-                root[max(mine, find(c))] = min(mine, find(c))
-                found.append((int(order[q]), int(order[c])))
+            mark[own] = False
     return found
 
 
@@ -256,11 +303,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(source.mapInArrow(_profile("id", "text", words, percent, False), "id long, n long, digest long"), "profile")
     keys = source.where("id is not null").mapInArrow(_profile("id", "text", words, percent, True), "key long, digest long")
+    # joins that move texts or grow with the input are never broadcast
     near = components(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long"))
     classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"))
-    members = written(classes.join(near.withColumnRenamed("node", "digest"), "digest").select("digest", "node", "n", F.col("component").alias("area")), "areas")
+    members = written(classes.join(near.withColumnRenamed("node", "digest").hint("merge"), "digest").select("digest", "node", "n", F.col("component").alias("area")), "areas")
     sizes = members.groupBy("area").agg(F.sum("n").alias("total"))
-    blocked = members.join(sizes, "area").withColumn("blocks", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
+    blocked = members.join(sizes.hint("merge"), "area").withColumn("blocks", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     # a block meets itself and every other block of its area once; small areas are one block
     placed = blocked.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
@@ -269,11 +317,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.xxhash64("area", F.least("own", "other"), F.greatest("own", "other")).alias("place"),
         (F.col("own") != F.col("other")).alias("crossed"), F.col("own").alias("side"),
     )
-    rows = source.join(placed, "id").select("place", "crossed", "side", "node", "digest", "text")
+    rows = source.join(placed.hint("merge"), "id").select("place", "crossed", "side", "node", "digest", "text")
     links = rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_searcher(words, percent), "a long, b long")
     linked = components(links)
-    label = classes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = profile.join(label.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    label = classes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    out = profile.join(label.withColumnRenamed("digest", "d").hint("merge"), (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("digest").alias("set_digest"))
 
 
