@@ -29,7 +29,7 @@ from . import textkit as tk
 from .suffix_dedup import merged, rewritten, sliding_min
 
 WINDOW = 3
-HELD_WINDOWS = 600_000
+HELD_WINDOWS = 300_000
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:

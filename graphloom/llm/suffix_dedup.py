@@ -42,7 +42,7 @@ from .store import written
 #: Bytes of the first rank.
 SEED = 32
 #: Runs that a task holds before equal ones among them are merged.
-HELD_RUNS = 600_000
+HELD_RUNS = 300_000
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def _ranked(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs to repeats (gram null) and to the runs whose string has other runs too."""
         before = None  # (gram, run, doc, start) of the group that a cut left open
-        for table, cut in _buffers(batches, 200_000):
+        for table, cut in _buffers(batches, 100_000):
             gram, whole, doc, start, count = (table.column(i).to_numpy() for i in range(5))
             known = count < 0
             d, s, e = [doc[known]], [start[known]], [start[known] - count[known]]
@@ -217,7 +217,7 @@ def _fetched(length: int):
                     if end <= b:
                         grams.append(gram[x]), docs.append(ids[r]), starts.append(start[x])
                         pieces.append(bytes(view[at:end]))
-                if len(pieces) > 50_000:
+                if len(pieces) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], ["gram", "doc", "start", "bytes"])
                     grams, docs, starts, pieces = [], [], [], []
             if pieces:
@@ -230,7 +230,7 @@ def _doubled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open runs, sorted by (gram, doc, start), to repeats: ranks of 64 and then `length` bytes."""
         seen = open_gram = None  # final ranks of a group that a cut left open
-        for table, cut in _buffers(batches, 40_000):
+        for table, cut in _buffers(batches, 20_000):
             gram, doc, start = (table.column(i).to_numpy() for i in range(3))
             data, offsets, _ = tk.utf8(table.column(3))
             once = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass works on; temporaries take about 40 times this.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Code points 9-13 and 32 separate words.
 IS_SPACE = np.zeros(256, dtype=bool)
