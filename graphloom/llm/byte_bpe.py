@@ -1,21 +1,59 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, each distinct word encoded once.
 
-The pre-tokeniser of such a vocabulary always starts a new piece before a space
-that stands between two characters that are no white space, so a text can be cut
-there and the library's ids of the parts, remembered in a bounded cache, joined.
+The pre-tokeniser of such a vocabulary starts a piece before every space but those
+inside a run of white space, so a text without such spaces can be cut at its
+spaces and the library's ids of the parts put together. Cutting, finding the
+distinct parts and putting ids together are Arrow and numpy calls over a whole
+batch; the library sees only parts that a worker's bounded cache does not hold.
+Other texts are cut elsewhere, one by one.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
 #: Distinct words in each of the two generations that a worker remembers.
 CACHE_WORDS = 250_000
+#: Texts that are cut in one call.
+ROWS = 3000
+#: A space that neither begins nor ends its run of white space, or two spaces (RE2 syntax).
+_INNER_SPACE = "  |[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] [\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+class _Words:
+    """Ids of words that have the same text before them, in two generations."""
+
+    def __init__(self, tokenizer, before: str):
+        self.tokenizer, self.before = tokenizer, before
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        now, old = self.now, self.old
+        found = [now.get(w) for w in words]
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            ask = []
+            for i in missing:
+                known = old.get(words[i])
+                if known is None:
+                    ask.append(i)
+                else:
+                    found[i] = now[words[i]] = known
+            for s in range(0, len(ask), 20_000):
+                part = ask[s : s + 20_000]
+                for i, e in zip(part, self.tokenizer.encode_batch_fast([self.before + words[i] for i in part], add_special_tokens=False), strict=True):
+                    found[i] = now[words[i]] = array("H", e.ids).tobytes()
+            if len(now) > CACHE_WORDS:
+                self.old, self.now = now, {}
+        return found
 
 
 class ByteBpe:
@@ -26,45 +64,71 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self._later: dict[str, bytes] = {}  # after a space
-        self._first: dict[str, bytes] = {}  # as a text starts
-        self._old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-
-    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
-        """A cache that has all the words."""
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > CACHE_WORDS:
-            self._old[before], cache, missing = cache, {}, list(words)
-        old = self._old[before]
-        if old:
-            cache.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in cache]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u2").tobytes()
-        return cache
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers; null is empty."""
-        split: list[list[str]] = []
-        first: set[str] = set()
-        later: set[str] = set()
-        for t in texts:
-            if not t:
-                split.append([])
-                continue
-            if _ODD_SPACE.search(t):
-                parts = _CUT.split(t)
-                parts[1:] = [p[1:] for p in parts[1:]]
-            else:
-                parts = t.split(" ")
-            first.add(parts[0])
-            later.update(parts[1:])
-            split.append(parts)
-        a = self._first = self._fill(self._first, first, "")
-        b = self._later = self._fill(self._later, later, " ")
-        return [a[p[0]] + b"".join([b[w] for w in p[1:]]) if p else b"" for p in split]
+        self.first = _Words(self.tokenizer, "")  # as a text starts
+        self.later = _Words(self.tokenizer, " ")
+
+    def _table(self, words: pa.Array, cache: _Words) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(code of each word, ids of each distinct word, all their ids)."""
+        coded = words.dictionary_encode()
+        raw = cache.ids(coded.dictionary.to_pylist())
+        return coded.indices.to_numpy(zero_copy_only=False), np.array([len(x) // 2 for x in raw], dtype=np.int64), b"".join(raw)
+
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Texts without inner spaces: (code of each part, parts of each text, ids of each code, all ids)."""
+        lists = pc.split_pattern(texts, " ")
+        values, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        count = np.diff(ends, prepend=0)
+        begin = ends - count
+        is_first = np.zeros(len(values), dtype=bool)
+        is_first[begin[count > 0]] = True
+        a, a_len, a_ids = self._table(values.filter(pa.array(is_first)), self.first)
+        b, b_len, b_ids = self._table(values.filter(pa.array(~is_first)), self.later)
+        code = np.empty(len(values), dtype=np.int64)
+        code[is_first], code[~is_first] = a, b + len(a_len)
+        return code, count, np.concatenate((a_len, b_len)), np.frombuffer(a_ids + b_ids, "<u2")
+
+    def _odd(self, text: str) -> bytes:
+        parts = _CUT.split(text)
+        return self.first.ids(parts[:1])[0] + b"".join(self.later.ids([p[1:] for p in parts[1:]]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids as unsigned 16-bit integers, where each text's end); null is empty."""
+        flat, sizes = [], []
+        for s in range(0, len(texts), ROWS):
+            part = texts.slice(s, ROWS).fill_null("")
+            odd = pc.match_substring_regex(part, _INNER_SPACE).to_numpy(zero_copy_only=False)
+            strange = {int(i): np.frombuffer(self._odd(part[int(i)].as_py()), "<u2") for i in np.flatnonzero(odd)}
+            code, count, length, ids = self._parts(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
+            n = length[code]
+            start = np.cumsum(length) - length
+            index = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            own = ids[index]
+            total = np.concatenate(([0], np.cumsum(n)))
+            ends = total[np.cumsum(count)]
+            if strange:
+                pieces = np.split(own, ends[:-1])
+                for i, x in strange.items():
+                    pieces[i] = x
+                own, ends = np.concatenate(pieces), np.cumsum([len(x) for x in pieces])
+            flat.append(own)
+            sizes.append(np.diff(ends, prepend=0))
+        if not flat:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        out = []
+        for s in range(0, len(texts), ROWS):
+            part = texts.slice(s, ROWS).fill_null("")
+            odd = pc.match_substring_regex(part, _INNER_SPACE).to_numpy(zero_copy_only=False)
+            code, count, length, _ = self._parts(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
+            total = np.concatenate(([0], np.cumsum(length[code])))
+            n = np.diff(total[np.cumsum(count)], prepend=0)
+            for i in np.flatnonzero(odd):
+                n[i] = len(self._odd(part[int(i)].as_py())) // 2
+            out.append(n)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 _loaded: dict[str, ByteBpe] = {}
