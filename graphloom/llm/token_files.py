@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .byte_bpe import byte_bpe
-from .store import new_path
+from .byte_bpe import ROWS, byte_bpe
+from .store import new_path, written
 
 BLOCK_IDS = 4096
 #: Ids that a task holds before it codes them.
@@ -43,7 +43,6 @@ def _crc(ids: np.ndarray) -> int:
 def _coded(tokenizer: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        end = int(end_id).to_bytes(2, "little")
         seq = offset = 0
         blocks: list[np.ndarray] = []
         index: list[list[tuple[int, int, int, int]]] = []
@@ -61,34 +60,36 @@ def _coded(tokenizer: str, end_id: int, block_ids: int):
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["shard", "seq", "offset", "n_ids", "crc", "index", "payload"])
 
-        pending: list[bytes] = []
+        pending: list[np.ndarray] = []
         entries: list[tuple[int, int, int, int]] = []
 
         def close() -> None:
             nonlocal pending, entries, room
             if entries:
-                blocks.append(np.frombuffer(b"".join(pending), "<u2"))
+                blocks.append(np.concatenate(pending))
                 index.append(entries)
             pending, entries, room = [], [], 0
 
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
                 names = [NULL_ID if v is None else v for v in part.column(0).to_pylist()]
-                for name, raw in zip(names, byte_bpe(tokenizer).encode(part.column(1).to_pylist()), strict=True):
-                    raw += end
-                    n = len(raw) // 2
+                flat, ends = byte_bpe(tokenizer).encode(part.column(1))
+                flat = np.insert(flat, ends, end_id)  # after each document
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                for name, a, b in zip(names, [0, *ends], ends, strict=False):
+                    n = b - a
                     if n > block_ids:
                         close()
                         parts = -(-n // block_ids)
-                        for k in range(parts):
-                            own = raw[2 * k * block_ids : 2 * (k + 1) * block_ids]
-                            pending, entries = [own], [(name, k * block_ids, parts, len(own) // 2)]
+                        for k in range(a, b, block_ids):
+                            own = flat[k : min(k + block_ids, b)]
+                            pending, entries = [own], [(name, k - a, parts, len(own))]
                             close()
                     else:
                         if room + n > block_ids:
                             close()
-                        pending.append(raw)
+                        pending.append(flat[a:b])
                         entries.append((name, 0, 1, n))
                         room += n
                     held += n
@@ -184,7 +185,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, read back from the files."""
     blocks = spark.read.schema(FORMAT).parquet(path)
-    rows = blocks.mapInArrow(_checked, "shard long, at long, id long, part long, parts long, n long, crc long")
+    rows = written(blocks.mapInArrow(_checked, "shard long, at long, id long, part long, parts long, n long, crc long"), "token-digests")  # decoded once
     rows = rows.join(F.broadcast(shard_starts(blocks)), "shard").withColumn("start", F.col("before") + F.col("at"))
     whole = rows.where("parts = 1").select("id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     parts = rows.where("parts > 1").withColumn("start", F.col("start") - F.col("part"))
