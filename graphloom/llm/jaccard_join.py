@@ -9,9 +9,11 @@ with equal sets fall into one class and only classes are compared.
    so linked sets agree exactly in some non-empty part: the hash of a part's
    content is a routing key (about one per six shingles, for two size bands). A
    set with more empty parts than were allowed for also gives its p-prefix as
-   keys, so no link is lost. Classes that share a key, directly or through
-   others, form a *neighbourhood* (connected components over star edges, one per
-   member of a key, never pairs).
+   keys, so no link is lost. The members of a key are compared by odd sketches
+   (bit h mod m flips for each shingle: two sketches differ in no more bits than
+   the sets in shingles, so this too loses no link) and a forest of those that may
+   link is kept, never pairs; keys with more than `LARGE_KEY` members keep a star.
+   Classes that are connected by these edges form a *neighbourhood*.
 2. *Search.* Neighbourhoods go to tasks with their whole sets, large ones as
    pairs of blocks. A task builds inverted lists (shingle -> sets). For each set,
    as the larger of a pair, T = ceil(p/100 * size) lists must hold a partner.
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .components import components, forest
 from .store import written
+from .suffix_dedup import sorted_groups
 
 #: Shingles that a search holds at once; larger neighbourhoods are searched as pairs of blocks of this many.
 BLOCK_SHINGLES = 1_000_000
@@ -84,6 +87,13 @@ def routing_keys(own: np.ndarray, percent: int, edges: np.ndarray) -> np.ndarray
     return np.concatenate(keys) if keys else own[:0]
 
 
+def odd_sketch(own: np.ndarray) -> bytes:
+    """Parity of the shingles on each of m bits, m a power of two of about the set's size."""
+    m = min(max(64, 1 << (len(own) - 1).bit_length()), 1 << 14)
+    bits = np.bincount((tk.mix(own + tk.odd(12)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _profile(id_col: str, text_col: str, k: int, percent: int, want_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bands(1 << 34, percent), dtype=np.int64)
@@ -96,7 +106,8 @@ def _profile(id_col: str, text_col: str, k: int, percent: int, want_keys: bool):
                 sets = tk.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 digests = [set_digest(x) for x in sets]
                 if not want_keys:
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.int64())], ["id", "n", "digest"])
+                    sketches = pa.array([odd_sketch(x) if len(x) else None for x in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.int64()), sketches], ["id", "n", "digest", "sketch"])
                     continue
                 keys, owner = [], []
                 for x, d in zip(sets, digests, strict=True):
@@ -106,39 +117,79 @@ def _profile(id_col: str, text_col: str, k: int, percent: int, want_keys: bool):
                         owner.append(np.full(len(keys[-1]), d, dtype=np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(tk.signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "digest"])
-                if len(seen) > 4_000_000:
+                if len(seen) > 1_000_000:
                     seen.clear()
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key to edges from the first member of a key to the others."""
-    key = head = None
-    keep: list[np.ndarray] = []
-    size = 0
+#: Members of a key beyond which they are connected without being compared.
+LARGE_KEY = 512
 
-    def flush() -> pa.RecordBatch:
-        a, b = forest(*(np.concatenate([x[i] for x in keep]) for i in (0, 1)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        fresh = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
-        heads = np.where(at >= 0, d[at], head if head is not None else 0)
-        key, head = k[-1], heads[-1]
-        some = heads != d
-        if some.any():
-            keep.append([heads[some], d[some]])
-            size += int(some.sum())
-        if size > 1_000_000:
-            yield flush()
-            keep, size = [], 0
-    if size:
-        yield flush()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, digest) to (group, member, star): the members of each key that has several.
+
+    Keys with the same members give one group. star: member is connected to the class that group names.
+    """
+    seen: set[int] = set()
+    head = None  # (key, digest) of a key that a cut left open
+    for table, cut in sorted_groups(batches, 100_000):
+        key, digest = (table.column(i).to_numpy() for i in range(2))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
+        key, digest = key[new], digest[new]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        name = tk.signed(tk.mix(np.add.reduceat(tk.mix(digest.view(np.uint64) + tk.odd(13)), first) + size.astype(np.uint64)))
+        lead = digest[first].copy()
+        star = size > LARGE_KEY
+        if head is not None and key[0] == head[0]:
+            star[0], lead[0] = True, head[1]
+        if cut:
+            star[-1] = True
+        head = (key[-1], lead[-1]) if cut else None
+        keep = (size > 1) | star
+        _, where = np.unique(name, return_index=True)
+        once = np.zeros(len(name), dtype=bool)
+        once[where] = True
+        keep &= once | star
+        for i in np.flatnonzero(keep & ~star):
+            if int(name[i]) in seen:
+                keep[i] = False
+            else:
+                seen.add(int(name[i]))
+        if len(seen) > 1_000_000:
+            seen.clear()
+        rows = np.repeat(keep, size)
+        group = np.repeat(np.where(star, lead, name), size)[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(digest[rows]), pa.array(np.repeat(star, size)[rows])], ["group", "member", "star"])
+
+
+def _alike(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (group, member, n, sketch) sorted by group to a forest of the members that may link."""
+        for table, _ in sorted_groups(batches, 20_000):
+            group, member, n = (table.column(i).to_numpy() for i in range(3))
+            sketches = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
+            width = np.array([len(x) for x in sketches])
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ends = np.append(first[1:], len(group))
+            found: list[np.ndarray] = []
+            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                w = int(width[a:b].min())
+                bits = np.stack([x if len(x) == w else np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in sketches[a:b]])
+                for r in range(b - a - 1):
+                    apart = np.bitwise_count(bits[r + 1 :] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                    near = np.flatnonzero(apart <= (n[a + r] + n[a + r + 1 : b]) * (100 - percent) // (100 + percent))
+                    if len(near):
+                        found.append(np.stack((np.full(len(near), member[a + r]), member[a + r + 1 + near])))
+            if found:
+                x, y = forest(*np.concatenate(found, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return run
 
 
 #: A group with so many links to one set is linked by comparing every set with that one, before lists are merged.
@@ -301,11 +352,15 @@ def _searcher(k: int, percent: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, set_digest): components under Jaccard >= percent/100 of word shingles."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = written(source.mapInArrow(_profile("id", "text", words, percent, False), "id long, n long, digest long"), "profile")
+    profile = written(source.mapInArrow(_profile("id", "text", words, percent, False), "id long, n long, digest long, sketch binary"), "profile")
     keys = source.where("id is not null").mapInArrow(_profile("id", "text", words, percent, True), "key long, digest long")
+    groups = written(keys.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_groups, "group long, member long, star boolean"), "groups")
+    classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # joins that move texts or grow with the input are never broadcast
-    near = components(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long"))
-    classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"))
+    compared = groups.where("not star").select("group", "member").distinct().join(classes.hint("merge"), F.col("member") == F.col("digest")).select("group", "member", "n", "sketch")
+    alike = compared.repartition("group").sortWithinPartitions("group", "member").mapInArrow(_alike(percent), "a long, b long")
+    near = components(alike.union(groups.where("star").select("group", "member")))
+    classes = classes.drop("sketch")
     members = written(classes.join(near.withColumnRenamed("node", "digest").hint("merge"), "digest").select("digest", "node", "n", F.col("component").alias("area")), "areas")
     sizes = members.groupBy("area").agg(F.sum("n").alias("total"))
     blocked = members.join(sizes.hint("merge"), "area").withColumn("blocks", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))

@@ -133,7 +133,7 @@ def _found(length: int):
     return run
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
     """Sorted batches as tables that end with a group of the first column, or, if that is very long, are marked as cut."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -160,7 +160,7 @@ def _ranked(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs to repeats (gram null) and to the runs whose string has other runs too."""
         before = None  # (gram, run, doc, start) of the group that a cut left open
-        for table, cut in _buffers(batches, 100_000):
+        for table, cut in sorted_groups(batches, 100_000):
             gram, whole, doc, start, count = (table.column(i).to_numpy() for i in range(5))
             known = count < 0
             d, s, e = [doc[known]], [start[known]], [start[known] - count[known]]
@@ -230,7 +230,7 @@ def _doubled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open runs, sorted by (gram, doc, start), to repeats: ranks of 64 and then `length` bytes."""
         seen = open_gram = None  # final ranks of a group that a cut left open
-        for table, cut in _buffers(batches, 20_000):
+        for table, cut in sorted_groups(batches, 20_000):
             gram, doc, start = (table.column(i).to_numpy() for i in range(3))
             data, offsets, _ = tk.utf8(table.column(3))
             once = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))

@@ -190,11 +190,11 @@ def test_suffix_dedup_of_periodic_and_overlapping_texts(spark, monkeypatch):
     assert got == want
     import pyarrow as pa
 
-    def cut_small(batches, rows_, real=suffix_dedup._buffers):  # very long groups are handed on in pieces
+    def cut_small(batches, rows_, real=suffix_dedup.sorted_groups):  # very long groups are handed on in pieces
         return real((b.slice(i, 2) for b in batches for i in range(0, b.num_rows, 2)), 2)
 
     assert pa is not None
-    monkeypatch.setattr(suffix_dedup, "_buffers", cut_small)
+    monkeypatch.setattr(suffix_dedup, "sorted_groups", cut_small)
     spark.sparkContext.setLogLevel("OFF")
     from graphloom.llm.suffix_dedup import _doubled
 
