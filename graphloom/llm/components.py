@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import dropped, written
+from .textkit import lean
 
 EDGE = "a long, b long"
 
@@ -70,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     Component is its smallest node. Self loops are kept as nodes only if another
     edge has them; nulls take no part; repeated edges change nothing.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(_shrink, EDGE)
+    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(lean(_shrink), EDGE)
     now, state = written(edges, "edges"), None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

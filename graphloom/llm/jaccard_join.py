@@ -352,13 +352,13 @@ def _searcher(k: int, percent: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, set_digest): components under Jaccard >= percent/100 of word shingles."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = written(source.mapInArrow(_profile("id", "text", words, percent, False), "id long, n long, digest long, sketch binary"), "profile")
-    keys = source.where("id is not null").mapInArrow(_profile("id", "text", words, percent, True), "key long, digest long")
-    groups = written(keys.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_groups, "group long, member long, star boolean"), "groups")
+    profile = written(source.mapInArrow(tk.lean(_profile("id", "text", words, percent, False)), "id long, n long, digest long, sketch binary"), "profile")
+    keys = source.where("id is not null").mapInArrow(tk.lean(_profile("id", "text", words, percent, True)), "key long, digest long")
+    groups = written(keys.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tk.lean(_groups), "group long, member long, star boolean"), "groups")
     classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # joins that move texts or grow with the input are never broadcast
     compared = groups.where("not star").select("group", "member").distinct().join(classes.hint("merge"), F.col("member") == F.col("digest")).select("group", "member", "n", "sketch")
-    alike = compared.repartition("group").sortWithinPartitions("group", "member").mapInArrow(_alike(percent), "a long, b long")
+    alike = compared.repartition("group").sortWithinPartitions("group", "member").mapInArrow(tk.lean(_alike(percent)), "a long, b long")
     near = components(alike.union(groups.where("star").select("group", "member")))
     classes = classes.drop("sketch")
     members = written(classes.join(near.withColumnRenamed("node", "digest").hint("merge"), "digest").select("digest", "node", "n", F.col("component").alias("area")), "areas")
@@ -373,7 +373,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (F.col("own") != F.col("other")).alias("crossed"), F.col("own").alias("side"),
     )
     rows = source.join(placed.hint("merge"), "id").select("place", "crossed", "side", "node", "digest", "text")
-    links = rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_searcher(words, percent), "a long, b long")
+    links = rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(tk.lean(_searcher(words, percent)), "a long, b long")
     linked = components(links)
     label = classes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = profile.join(label.withColumnRenamed("digest", "d").hint("merge"), (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")

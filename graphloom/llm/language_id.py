@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, per_language / n)])
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.where(draw < share[F.col(label_col)]).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    got = drawn.mapInArrow(_featured(dims), "label string, tf binary").limit(2 * per_language * len(names)).collect()
+    got = drawn.mapInArrow(tk.lean(_featured(dims)), "label string, tf binary").limit(2 * per_language * len(names)).collect()
     tf = np.stack([np.frombuffer(r.tf, np.uint16) for r in got]).astype(np.float32) if got else np.zeros((0, dims), np.float32)
     label = np.array([r.label for r in got])
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -185,7 +185,7 @@ def _predicted(model: Model):
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, rejected) of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predicted(model), "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tk.lean(_predicted(model)), "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -219,4 +219,4 @@ def _kept(model: Model, text_at: int):
 def recognised(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that language identification rejects go; whole rows pass through one task, nothing is joined."""
     model = fit(training_rows(docs))
-    return docs.mapInArrow(_kept(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tk.lean(_kept(model, docs.columns.index("text"))), docs.schema)

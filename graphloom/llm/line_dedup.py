@@ -149,8 +149,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_ranges(texts: DataFrame, window: int) -> DataFrame:
     """(doc, ranges): the lines of texts (id, text), counted over lines with a word, that are later occurrences."""
-    found = texts.mapInArrow(_found(window), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
-    return found.mapInArrow(_later(window), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
+    found = texts.mapInArrow(tk.lean(_found(window)), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
+    return found.mapInArrow(tk.lean(_later(window)), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -160,7 +160,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = line_ranges(texts, window)
     joined = texts.join(ranges.hint("shuffle_hash"), texts["id"] == ranges["doc"], "left").select("id", "text", "ranges")
     rest = source.where("id is null").withColumn("ranges", F.lit(None).cast("array<struct<line:long,size:long>>"))
-    return joined.union(rest).mapInArrow(_cut, "id long, n_lines long, n_removed long, n_runs long, kept_text string").withColumnRenamed("id", id_col)
+    return joined.union(rest).mapInArrow(tk.lean(_cut), "id long, n_lines long, n_removed long, n_runs long, kept_text string").withColumnRenamed("id", id_col)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

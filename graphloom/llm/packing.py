@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
 from .store import written
+from .textkit import lean
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
@@ -113,10 +114,10 @@ def _packed(capacities: tuple[int, ...], overhead: int):
 def best_fit(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """PACKED rows, one a piece: the bin, where in the bin it starts and the bin's final capacity."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    lengths = written(rows.mapInArrow(_lengths(tokenizer), "id long, n long"), "lengths")
+    lengths = written(rows.mapInArrow(lean(_lengths(tokenizer)), "id long, n long"), "lengths")
     shards = max(1, -(-lengths.count() // SHARD_PIECES))
     sharded = lengths.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "n")
-    return sharded.repartition("shard").sortWithinPartitions("shard", "id", "n").mapInArrow(_packed(capacities, overhead), PACKED)
+    return sharded.repartition("shard").sortWithinPartitions("shard", "id", "n").mapInArrow(lean(_packed(capacities, overhead)), PACKED)
 
 
 def op7_best_fit(spark, sf_dir: str) -> DataFrame:

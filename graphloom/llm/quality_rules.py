@@ -95,7 +95,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, measurements, failures): bit i of failures is set if rule i fails."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = rows.mapInArrow(_measured, "id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = rows.mapInArrow(tk.lean(_measured), "id long, " + ", ".join(f"{m} long" for m in MEASURES))
     failures: Column = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
         failures = failures.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -307,12 +307,12 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(texts: DataFrame, length: int) -> DataFrame:
     """(doc, start, size): byte ranges of texts (id, text) that `length`-byte repeats cover; ranges may overlap."""
-    sorted_runs = texts.mapInArrow(_found(length), ", ".join(f"{c} long" for c in SORTED)).repartition("gram").sortWithinPartitions(*SORTED[:4])
-    ranked = written(sorted_runs.mapInArrow(_ranked(length), "gram long, doc long, start long, size long"), "runs")
+    sorted_runs = texts.mapInArrow(tk.lean(_found(length)), ", ".join(f"{c} long" for c in SORTED)).repartition("gram").sortWithinPartitions(*SORTED[:4])
+    ranked = written(sorted_runs.mapInArrow(tk.lean(_ranked(length)), "gram long, doc long, start long, size long"), "runs")
     of_doc = ranked.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "size")).alias("open"))
     bytes_of = texts.join(of_doc.hint("shuffle_hash"), texts["id"] == of_doc["doc"], "left").where("open is not null").select("id", "text", "open")
-    doubled = bytes_of.mapInArrow(_fetched(length), "gram long, doc long, start long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "start")
-    return ranked.where("gram is null").select("doc", "start", "size").union(doubled.mapInArrow(_doubled(length), "doc long, start long, size long"))
+    doubled = bytes_of.mapInArrow(tk.lean(_fetched(length)), "gram long, doc long, start long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "start")
+    return ranked.where("gram is null").select("doc", "start", "size").union(doubled.mapInArrow(tk.lean(_doubled(length)), "doc long, start long, size long"))
 
 
 def _with_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
@@ -329,14 +329,14 @@ def _with_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> t
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes (null for null text)."""
     joined, rest = _with_repeats(docs, id_col, text_col, length)
-    return joined.union(rest).mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return joined.union(rest).mapInArrow(tk.lean(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from .store import documents
 
     joined, rest = _with_repeats(documents(spark, sf_dir), "doc_id", "text", 100)
-    return joined.union(rest).mapInArrow(_digested, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
+    return joined.union(rest).mapInArrow(tk.lean(_digested), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
 
 
 def rewritten(docs: DataFrame, ranges: DataFrame, cut) -> DataFrame:
@@ -369,7 +369,7 @@ def rewritten(docs: DataFrame, ranges: DataFrame, cut) -> DataFrame:
 
     ranges = ranges.select(F.col("doc").alias("_ranges_of"), F.col("ranges").alias("_ranges"))
     joined = docs.join(ranges.hint("shuffle_hash"), docs["doc_id"] == ranges["_ranges_of"], "left").select(*(docs[c] for c in names), "_ranges")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tk.lean(run), docs.schema)
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

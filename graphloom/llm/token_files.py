@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .byte_bpe import ROWS, byte_bpe
 from .store import new_path, written
+from .textkit import lean
 
 BLOCK_IDS = 4096
 #: Ids that a task holds before it codes them.
@@ -107,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Write the ids of all documents, in ascending order of id, each followed by end_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInArrow(_coded(tokenizer, end_id, block_ids), FORMAT).write.parquet(path)
+    ordered.mapInArrow(lean(_coded(tokenizer, end_id, block_ids)), FORMAT).write.parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +136,32 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["shard", "at", "id", "part", "parts", "n", "crc"])
 
 
+def _times(matrix: list[int], vector: int) -> int:
+    total = 0
+    for row in matrix:
+        if vector & 1:
+            total ^= row
+        vector >>= 1
+    return total
+
+
+#: How a CRC-32 register moves over 2**i zero bytes, as matrices over GF(2); made when first needed.
+_shifts: list[list[int]] = []
+
+
 def crc_joined(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two byte strings one behind the other, from the CRC-32 of each: the first shifted by zeros, over GF(2)."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        total = 0
-        for row in matrix:
-            if vector & 1:
-                total ^= row
-            vector >>= 1
-        return total
-
-    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    bits = second_bytes * 8
-    while bits:
-        if bits & 1:
-            first = times(step, first)
-        step = [times(step, row) for row in step]
-        bits >>= 1
+    """CRC-32 of two byte strings one behind the other, from the CRC-32 of each: the first is moved over as many zeros."""
+    at = 0
+    while second_bytes:
+        if at == len(_shifts):
+            step = _shifts[-1] if _shifts else [0xEDB88320] + [1 << i for i in range(31)]  # the latter: one zero bit
+            for _ in range(1 if _shifts else 3):
+                step = [_times(step, row) for row in step]
+            _shifts.append(step)
+        if second_bytes & 1:
+            first = _times(_shifts[at], first)
+        second_bytes >>= 1
+        at += 1
     return first ^ second
 
 
@@ -178,14 +187,14 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, part, parts, start, ids): the documents, long ones in parts (part: ids of the document before it); ids little-endian unsigned 32-bit."""
     blocks = spark.read.schema(FORMAT).parquet(path)
-    rows = blocks.mapInArrow(_decoded, "shard long, at long, id long, part long, parts long, ids binary")
+    rows = blocks.mapInArrow(lean(_decoded), "shard long, at long, id long, part long, parts long, ids binary")
     return rows.join(F.broadcast(shard_starts(blocks)), "shard").select("id", "part", "parts", (F.col("before") + F.col("at")).alias("start"), "ids")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, read back from the files."""
     blocks = spark.read.schema(FORMAT).parquet(path)
-    rows = written(blocks.mapInArrow(_checked, "shard long, at long, id long, part long, parts long, n long, crc long"), "token-digests")  # decoded once
+    rows = written(blocks.mapInArrow(lean(_checked), "shard long, at long, id long, part long, parts long, n long, crc long"), "token-digests")  # decoded once
     rows = rows.join(F.broadcast(shard_starts(blocks)), "shard").withColumn("start", F.col("before") + F.col("at"))
     whole = rows.where("parts = 1").select("id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     parts = rows.where("parts > 1").withColumn("start", F.col("start") - F.col("part"))

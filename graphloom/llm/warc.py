@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path, written
+from .textkit import lean
 
 CRLF = "\r\n"
 #: Records in a file at most; a file is read by one task.
@@ -156,7 +157,7 @@ def _read(with_payload: bool):
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """RECORD rows of all records of the files under path; payload only if asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    return files.mapInArrow(_read(payloads), RECORD)
+    return files.mapInArrow(lean(_read(payloads)), RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:
