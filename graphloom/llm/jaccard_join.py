@@ -383,7 +383,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .store import documents
 
-    return jaccard_components(documents(spark, sf_dir), words=4, percent=85)
+    return jaccard_components(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents where text is not null),
+s as (select distinct doc_id, case when len(ws) < 4 then ws else list_slice(ws, i, i + 3) end g from w, unnest(range(1, greatest(len(ws) - 2, 2))) u(i) where len(ws) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id x, b.doc_id y, count(*) both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+k as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * both_ >= 85 * (p.n + q.n - both_)),
+e as (select x, y from k union all select y, x from k),
+r(doc_id, root) as (select doc_id, doc_id from n union select e.y, r.root from r join e on e.x = r.doc_id)
+select d.doc_id, coalesce(max(n.n), 0)::bigint n_shingles, coalesce(min(r.root), d.doc_id) component_id
+from documents d left join n using (doc_id) left join r using (doc_id) group by d.doc_id
+"""
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

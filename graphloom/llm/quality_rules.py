@@ -130,3 +130,20 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
     book = ledger(documents(spark, sf_dir))
     return book.select("doc_id", *MEASURES[:5], (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failures")
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+w as (select rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d),
+win as (select rid, i, list_slice(ws, i, i + 7) g from w, unnest(range(1, greatest(len(ws) - 6, 1))) u(i) where len(ws) >= 8),
+again as (select rid, i from (select rid, i, count(*) over (partition by rid, g) c from win) where c > 1),
+rep as (select rid, count(distinct i + k) n from again, unnest(range(8)) u(k) group by 1),
+l as (select rid, unnest(string_split(t, chr(10))) line from d),
+ln as (select rid, count(*) n, count(*) - count(distinct line) dup from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+m as (select doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(ln.dup, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(ln.n, 0) n_lines
+  from d join w using (rid) left join rep using (rid) left join ln using (rid)),
+f as (select *, ((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (2 * n_symbols > n_words)::int + 8 * (word_chars < 2 * n_words)::int
+    + 16 * (word_chars > 20 * n_words)::int + 32 * (2 * n_dup_lines > n_lines and n_dup_lines > 3)::int)::bigint failures from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 base_failed, failures = 0 kept, failures from f
+"""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .graph_ann import op5_graph_ann
-from .jaccard_join import op1_jaccard_join
+from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .language_id import op4_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op7_best_fit
-from .quality_rules import op10_quality_rules
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentencepiece_bpe import op2_sentencepiece
 from .suffix_dedup import op3_suffix_dedup
 from .token_files import op6_token_files
@@ -22,4 +22,4 @@ QUERIES = {
 }
 
 #: The others have results that SQL cannot express; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one numpy pass works on; temporaries take about 40 times this.
 CHUNK_BYTES = 1 << 20
@@ -173,8 +174,16 @@ def _release() -> None:
         pass
 
 
+#: Bytes of an Arrow batch at most: it stands in the JVM and in Python, several times over.
+BATCH_BYTES = 16 << 20
+
+
 def lean(run):
-    """An Arrow function whose worker keeps no freed memory before and after it."""
+    """An Arrow function that gets small batches and whose worker keeps no freed memory before and after it."""
+    session = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session is not None and int(session.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        session.conf.set(name, f"{BATCH_BYTES}b")
 
     def wrapped(batches):
         _release()
