@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,7 +30,7 @@ TEXT = st.text(st.characters(exclude_categories=["Cs"]), max_size=12)
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("IBLGD"), TEXT.filter(lambda t: "\r" not in t or True)), min_size=1, max_size=30))
+@given(st.lists(st.tuples(st.sampled_from("IBLGD"), TEXT), min_size=1, max_size=30))
 def test_serialised_terms_parse_back(spark, parts):
     keys = []
     for kind, text in parts:
@@ -84,4 +82,3 @@ def test_turtle_files(spark, tmp_path):
 
     assert [tuple(r) for r in Graph.load(spark, str(tmp_path / "x.TTL")).triples.collect()] == [(A, P, B)]
     assert read_turtle(spark, str(tmp_path)).count() == 1
-    assert json.dumps("é", ensure_ascii=False) == '"é"'
