@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct words in each of the two generations that a worker remembers.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Texts that are cut in one call.
-ROWS = 1500
+ROWS = 3000
 #: A space that neither begins nor ends its run of white space, or two spaces (RE2 syntax).
 _INNER_SPACE = "  |[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] [\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
