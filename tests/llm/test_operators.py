@@ -254,6 +254,41 @@ def test_nearest(spark):
     assert graph_ann.nearest(df.where("false")).count() == 0
 
 
+def test_nearest_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(graph_ann, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(2)
+    n = 4000
+    for x in (rng.normal(size=(n, 16)), rng.normal(size=(40, 16))[rng.integers(0, 40, n)] + 0.1 * rng.normal(size=(n, 16))):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in graph_ann.nearest(df).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, n, 20):
+            s = x.astype(np.float64) @ x[q].astype(np.float64)
+            s[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hits / (n // 20 * 20) >= 0.98
+
+
+def test_reachable_cells_hold_all_neighbours():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 8))[rng.integers(0, 50, 5000)] + 0.05 * rng.normal(size=(5000, 8))
+    x = (x * rng.uniform(0.2, 3, (5000, 1))).astype(np.float32)
+    largest = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max())
+    points = graph_ann.augmented(x, largest)
+    centroids = graph_ann.kmeans(points, 80)
+    cell = ((centroids**2).sum(axis=1) - 2 * points @ centroids.T).argmin(axis=1)
+    unit = centroids / np.sqrt((centroids**2).sum(axis=1))[:, None]
+    cosine = (points * unit[cell]).sum(axis=1) / largest
+    least = np.array([cosine[cell == c].min(initial=1) for c in range(80)])
+    visit = graph_ann.reachable(x[:200], centroids, least, largest, x[rng.permutation(5000)[:1000]], 20)
+    scores = x[:200].astype(np.float64) @ x.astype(np.float64).T
+    best = np.argsort(-scores, axis=1)[:, :21]
+    assert visit[np.arange(200)[:, None], cell[best]].all() and visit.mean() < 0.6
+
+
 def test_range_coder_and_files(spark, odd, nothing, tmp_path):
     rng = np.random.default_rng(1)
     blocks = [np.zeros(0, np.uint16), np.full(3000, 65535, np.uint16), rng.integers(0, 65536, 2000).astype(np.uint16), np.array([7], np.uint16), (rng.zipf(1.5, 5000) % 500).astype(np.uint16)]
