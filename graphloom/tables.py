@@ -109,7 +109,7 @@ family("optional_column", "SELECT ?d ?lang ?src WHERE { ?d doc:doc_id ?i OPTIONA
 family("optional_condition", "SELECT ?c ?o WHERE { ?c customer:c_name ?n OPTIONAL { ?o orders:o_custkey ?c ; orders:o_totalprice ?t FILTER(?t > 300000) } }", {"c": "local", "o": "local"}, "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey and o_totalprice > 300000")
 family("optional_theta", "SELECT ?a ?b WHERE { ?a nation:n_nationkey ?x OPTIONAL { ?b nation:n_nationkey ?y FILTER(?y > ?x + 20) } }", {"a": "local", "b": "local"}, "select a.n_nationkey::bigint a, b.n_nationkey::bigint b from nation a left join nation b on b.n_nationkey > a.n_nationkey + 20")
 family(
-    "optional_then_join", "SELECT ?d ?q ?c WHERE { ?d doc:doc_id ?i OPTIONAL { ?d doc:quality ?q } ?e event:event_id ?i2 . OPTIONAL { ?e event:value ?c FILTER(?c > 1000000) } FILTER(?i = ?i2 && ?i < 200) }", {"d": "local", "q": "long", "c": "double"},
+    "optional_then_join", "SELECT ?d ?q ?c WHERE { ?d doc:doc_id ?i OPTIONAL { ?d doc:quality ?q } ?e event:event_id ?i2 . OPTIONAL { ?e event:value ?c FILTER(?c > 1000000) } FILTER(?i = ?i2) }", {"d": "local", "q": "long", "c": "double"},
     "select d.doc_id d, quality::bigint q, case when value > 1000000 then value end c from documents d join events e on e.event_id = d.doc_id left join labels l on l.doc_id = d.doc_id where d.doc_id < 200",
 )
 family(

@@ -32,6 +32,19 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(want)
 
 
+def test_optional_then_join_is_over_all_documents(spark):
+    import pandas as pd
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels, events = (pd.read_parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels", "events"))
+    want = docs[["doc_id"]].merge(events[["event_id", "value"]], left_on="doc_id", right_on="event_id").merge(labels[["doc_id", "quality"]], on="doc_id", how="left")
+    rows = [(d, None if pd.isna(q) else int(q), v if v > 1000000 else None) for d, q, v in zip(want.doc_id, want.quality, want.value, strict=True)]
+    df = tables.QUERIES["optional_then_join"](spark, sf)
+    assert len(rows) == 1000 and plain((r.d, r.q, r.c) for r in df.collect()) == plain(rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_scans_are_pruned_and_filtered(spark):
     from graphloom.tables import PREFIXES, engine
 
