@@ -116,9 +116,11 @@ def _featured(dims: int):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", dims: int = 4096, per_language: int = 400, max_languages: int = 64, centroids: int = 6, reject_share: float = 1.25) -> Model:
-    """Fit on about per_language rows of each of the max_languages most frequent labels, drawn by a hash of the id."""
+    """Fit on about per_language rows of each label, drawn by a hash of the id; more than max_languages labels are an error."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = [(r[0], r["n"]) for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_col).limit(max_languages).collect()]
+    sizes = [(r[0], r["n"]) for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_col).limit(max_languages + 1).collect()]
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} labels in {label_col}: none may be left out, so pass a larger max_languages")
     names = sorted(r[0] for r in sizes)
     if not names:
         return Model(np.ones(dims, np.float32), np.zeros((1, dims), np.float32), [0], [UNKNOWN], np.full((1, LENGTHS), 2.0))

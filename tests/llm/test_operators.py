@@ -227,6 +227,16 @@ def test_language_id(spark, odd, nothing):
     assert language_id.recognised(spark, odd, "").columns == odd.columns
 
 
+def test_language_id_leaves_no_label_out(spark):
+    words = ["".join(random.Random(f"{i} {j}").choices("abcdefghijklmnopqrstuvwxyz", k=9)) for i in range(65) for j in range(20)]
+    rows = [(8 * i + j, " ".join(words[20 * i : 20 * i + 20]), f"l{i:02}") for i in range(65) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="64 labels"):
+        language_id.fit(docs)
+    assert len(language_id.fit(docs, max_languages=65).names) == 65
+    assert len(language_id.fit(docs.where("lang <> 'l64'")).names) == 64
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
