@@ -1,11 +1,10 @@
-"""Line deduplication by winnowing over line hashes.
-
-Lines (split at \\n, those with a word) are hashed. Of every `window` consecutive
-lines the smallest hash is its fingerprint, so two texts that share a run of
-`window` lines share a fingerprint at the same place of the run: any such run is
-found. The positions of a fingerprint are joined by the lines around it (the
-window's content), the earliest occurrence stays, and every later one is
-extended both ways by joining the windows that touch. A line is deleted if it
+"""Line deduplication by hashes of windows of lines.
+
+Lines (split at \\n, those with a word) are hashed. Every `window` consecutive
+lines are one window and its content is the key; no minima are selected, as
+winnowing would. Two texts that share a run of `window` lines share the key of
+each of its windows: any such run is found. The earliest occurrence of a key
+stays, and later ones that overlap or touch are merged to runs. A line is deleted if it
 lies in a run of `window` or more lines that also occurs earlier, in a document
 with a smaller id or further up in the same; runs are judged on the input.
 
