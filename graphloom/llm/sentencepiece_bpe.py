@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import lean
+from .textkit import MODELS, lean
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -253,6 +253,7 @@ def _bytewise(data: bytes) -> str:
 
 
 _codecs: dict[str, Codec] = {}
+MODELS.append(_codecs)
 
 
 def codec(model_file: str) -> Codec:
@@ -272,7 +273,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "id long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run, models=True), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -284,7 +285,7 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
             texts = [None if (v := x.as_py()) is None else own.decode(bytes(v)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean(run), "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean(run, models=True), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +304,7 @@ def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run, models=True), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

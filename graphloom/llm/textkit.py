@@ -178,14 +178,28 @@ def _release() -> None:
 BATCH_BYTES = 16 << 20
 
 
-def lean(run):
-    """An Arrow function that gets small batches and whose worker keeps no freed memory before and after it."""
+#: Called before a task that uses no tokenizer: workers live on, and what they loaded for an earlier stage would stay.
+MODELS: list[dict] = []
+
+
+def forget() -> None:
+    for loaded in MODELS:
+        loaded.clear()
+
+
+def lean(run, models: bool = False):
+    """An Arrow function that gets small batches and whose worker keeps no freed memory before and after it.
+
+    models: it uses the tokenizers that the worker has loaded; other functions drop them.
+    """
     session = SparkSession.getActiveSession()
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if session is not None and int(session.conf.get(name).rstrip("b")) > BATCH_BYTES:
         session.conf.set(name, f"{BATCH_BYTES}b")
 
     def wrapped(batches):
+        if not models:
+            forget()
         _release()
         yield from run(batches)
         _release()
