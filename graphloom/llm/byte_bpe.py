@@ -6,10 +6,15 @@ spaces and the library's ids of the parts put together. Cutting, finding the
 distinct parts and putting ids together are Arrow and numpy calls over a whole
 batch; the library sees only parts that a worker's bounded cache does not hold.
 Other texts are cut elsewhere, one by one.
+
+Where only the number of ids is wanted, the merges of distinct parts of printable ASCII
+are carried out with the vocabulary's merge table in numpy, all parts of one length
+together; the counts are the library's (tested). All other parts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -18,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .textkit import MODELS, utf8
+
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct words in each of the two generations that a worker remembers.
 CACHE_WORDS = 250_000
@@ -56,6 +63,110 @@ class _Words:
         return found
 
 
+class _Merges:
+    """Counts of ids of many ASCII parts at once, by the merge table."""
+
+    LONGEST = 40
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, cut = whole["model"], whole["pre_tokenizer"] or {}
+        #: Only then are words cut as `counts` does; otherwise the library counts all of them.
+        self.fits = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not whole["normalizer"] and not model.get("ignore_merges") and not model.get("dropout")
+        vocab = model["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        key = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.uint32)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.ranks = key[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.uint32)  # by rank
+        # printable ASCII stands for itself in such vocabularies, the space for U+0120
+        self.byte = np.zeros(128, dtype=np.uint32)
+        for b in range(33, 127):
+            self.byte[b] = vocab[chr(b)]
+        self.byte[32] = vocab["\u0120"]
+        self.start = np.full((128, 128), self.NONE, dtype=np.int32)  # ranks of pairs of bytes
+        for a in range(32, 127):
+            for b in range(32, 127):
+                self.start[a, b] = self.rank(self.byte[[a]], self.byte[[b]])[0]
+        kind = np.full(128, 2, dtype=np.uint8)  # other marks
+        kind[[*range(65, 91), *range(97, 123)]] = 0
+        kind[48:58] = 1
+        self.kind = kind
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << np.uint32(16) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def _merged(self, chars: np.ndarray) -> np.ndarray:
+        """How many ids each row of bytes ends as: every round merges the best pair of each row that has one."""
+        out = np.empty(len(chars), dtype=np.int64)
+        rows, ids = np.arange(len(chars)), self.byte[chars]
+        rank = self.start[chars[:, :-1], chars[:, 1:]]
+        while len(rows) and rank.shape[1]:
+            line = np.arange(len(rows))
+            best = rank.argmin(axis=1)
+            low = rank[line, best]
+            some = low != self.NONE
+            if not some.all():
+                out[rows[~some]] = ids.shape[1]
+                rows, ids, rank, best, low = rows[some], ids[some], rank[some], best[some], low[some]
+                line = line[: len(rows)]
+                if not len(rows):
+                    return out
+            n, width = ids.shape
+            ids[line, best] = self.made[low]
+            keep = np.ones((n, width), dtype=bool)
+            keep[line, best + 1] = False
+            ids = ids[keep].reshape(n, width - 1)
+            rank = rank[np.delete(keep, 0, axis=1)].reshape(n, width - 2)
+            left = np.flatnonzero(best > 0)
+            rank[left, best[left] - 1] = self.rank(ids[left, best[left] - 1], ids[left, best[left]])
+            right = np.flatnonzero(best < width - 2)
+            rank[right, best[right]] = self.rank(ids[right, best[right]], ids[right, best[right] + 1])
+        out[rows] = ids.shape[1]
+        return out
+
+    def counts(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, with a space before it if spaced; whether the library has to say)."""
+        data, offsets, _ = utf8(words)
+        n = len(words)
+        size = np.diff(offsets)
+        plain = (data > 32) & (data < 127) & (data != 39)
+        plain[:-1] &= ~((data[:-1] == 60) & (data[1:] == 124))  # may begin a special id
+        bad = np.concatenate(([0], np.cumsum(~plain)))
+        other = (bad[offsets[1:]] > bad[offsets[:-1]]) | (size == 0) | (size > self.LONGEST)
+        out = np.zeros(n, dtype=np.int64)
+        mine = np.flatnonzero(~other)
+        if not self.fits or not len(mine):
+            other[:] = True
+            return out, other
+        # pieces: runs of letters, of digits or of other marks; the space belongs to the first
+        inside = np.repeat(~other, size)
+        chars = data[inside]
+        word = np.repeat(np.arange(len(mine)), size[mine])
+        kind = self.kind[chars]
+        first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]))))
+        length = np.diff(np.append(first, len(chars)))
+        owner = word[first]
+        lead = np.concatenate(([True], owner[1:] != owner[:-1])) & spaced
+        total = length + lead
+        found = np.empty(len(first), dtype=np.int64)
+        for size_ in np.unique(total).tolist():
+            for has_space in (False, True):
+                own = np.flatnonzero((total == size_) & (lead == has_space))
+                for s in range(0, len(own), 50_000):
+                    some = own[s : s + 50_000]
+                    block = np.full((len(some), size_), 32, dtype=np.uint8)
+                    shift = int(has_space)
+                    block[:, shift:] = chars[first[some][:, None] + np.arange(size_ - shift)]
+                    found[some] = self._merged(block)
+        out[mine] = np.bincount(owner, weights=found, minlength=len(mine)).astype(np.int64)
+        return out, other
+
+
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -64,6 +175,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.merges = _Merges(path)
         self.first = _Words(self.tokenizer, "")  # as a text starts
         self.later = _Words(self.tokenizer, " ")
 
@@ -116,15 +228,30 @@ class ByteBpe:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
 
+    def _sizes(self, words: pa.Array, cache: _Words, spaced: bool) -> np.ndarray:
+        """How many ids each word has."""
+        coded = words.dictionary_encode()
+        n, other = self.merges.counts(coded.dictionary, spaced)
+        ask = np.flatnonzero(other)
+        if len(ask):
+            n[ask] = [len(x) // 2 for x in cache.ids(coded.dictionary.take(pa.array(ask)).to_pylist())]
+        return n[coded.indices.to_numpy(zero_copy_only=False)]
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         out = []
         for s in range(0, len(texts), ROWS):
             part = texts.slice(s, ROWS).fill_null("")
             odd = pc.match_substring_regex(part, _INNER_SPACE).to_numpy(zero_copy_only=False)
-            code, count, length, _ = self._parts(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
-            total = np.concatenate(([0], np.cumsum(length[code])))
-            n = np.diff(total[np.cumsum(count)], prepend=0)
+            lists = pc.split_pattern(pc.if_else(pa.array(odd), "", part) if odd.any() else part, " ")
+            values, count = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(count)
+            is_first = np.zeros(len(values), dtype=bool)
+            is_first[(ends - count)[count > 0]] = True
+            sizes = np.empty(len(values), dtype=np.int64)
+            sizes[is_first] = self._sizes(values.filter(pa.array(is_first)), self.first, False)
+            sizes[~is_first] = self._sizes(values.filter(pa.array(~is_first)), self.later, True)
+            n = np.diff(np.concatenate(([0], np.cumsum(sizes)))[ends], prepend=0)
             for i in np.flatnonzero(odd):
                 n[i] = len(self._odd(part[int(i)].as_py())) // 2
             out.append(n)
@@ -132,6 +259,7 @@ class ByteBpe:
 
 
 _loaded: dict[str, ByteBpe] = {}
+MODELS.append(_loaded)
 
 
 def byte_bpe(path: str) -> ByteBpe:
