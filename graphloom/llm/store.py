@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (a local session), one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in a local session and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_drop_local, found[7:])
@@ -29,11 +32,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def tidily(df: DataFrame, write) -> None:
+    """Run a write whose shuffle files nothing reads afterwards, and delete them at its end instead of at some later collection."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        write()
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, computed once and kept as a table: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    tidily(df, lambda: df.write.parquet(path))
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
