@@ -1,12 +1,25 @@
-"""Line deduplication by hashes of windows of lines.
+"""Line deduplication by winnowing over line hashes.
 
-Lines (split at \\n, those with a word) are hashed. Every `window` consecutive
-lines are one window and its content is the key; no minima are selected, as
-winnowing would. Two texts that share a run of `window` lines share the key of
-each of its windows: any such run is found. The earliest occurrence of a key
-stays, and later ones that overlap or touch are merged to runs. A line is deleted if it
-lies in a run of `window` or more lines that also occurs earlier, in a document
-with a smaller id or further up in the same; runs are judged on the input.
+Lines (split at \\n, those with a word) are hashed. Of every `window` consecutive
+lines the one with the smallest hash is selected, the first of equal ones; the
+selected lines are the fingerprints, about 2 of every `window` + 1 lines. Equal windows
+select the same line at the same place, so two texts that share a run of
+`window` lines share a fingerprint in it: any such run is found.
+
+1. A row for each selected line, with the hashes of the windows that it was selected
+   for, goes to the place of its fingerprint; those that occur once leave.
+2. Matches are extended both ways from a fingerprint that occurs again: before it and behind
+   it as far as its windows reach, where the next fingerprint of the run goes on. For each
+   window the earliest occurrence is found; the others are matched with it.
+   Overlapping and touching matches are one run.
+
+A line is deleted if it lies in a run of `window` or more lines that also occurs
+earlier, in a document with a smaller id or further up in the same; runs are judged on the
+input. With `long_words`, a single line of so many words counts as a run as well.
+
+Within a task, all occurrences of a fingerprint or of a window but the first are
+settled before the shuffle, so a line or a run that a third of all texts hold sends
+one row a block of lines. No pairs are made.
 
 Null text stays null; empty texts and texts of fewer lines stay as they are; a text
 all of whose lines repeat becomes empty. Lines without a word never match and
@@ -25,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .suffix_dedup import merged, rewritten, sliding_min
+from .suffix_dedup import merged, rewritten, sliding_min, sorted_groups
 
 WINDOW = 3
+#: A line of so many words is deleted on its own in the pipeline.
+LONG_WORDS = 50
 HELD_WINDOWS = 300_000
 
 
@@ -42,45 +57,95 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, text, solid[end] > solid[start]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(text, first line, key) of every run of `window` lines with words; equal runs have equal keys."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray, window: int, long_words: int | None = None) -> tuple[np.ndarray, ...]:
+    """The windows of the texts with the line selected for each: (fingerprint, text, selected line, first line, lines, content).
+
+    Equal windows have equal fingerprints and contents.
+    """
     start, end, text, full = lines(data, offsets)
-    text = text[full]
-    hashes = tk.Prefix(data).of(start[full], end[full])
+    start, end, text = start[full], end[full], text[full]
+    hashes = tk.Prefix(data).of(start, end)
     number = np.arange(len(text)) - np.searchsorted(text, text, "left")
-    if len(hashes) < window:
-        return text[:0], number[:0], hashes[:0].view(np.int64)
-    content, first = tk.windows(hashes, text, window)
-    fingerprint = sliding_min(hashes, window)[first]
-    return text[first], number[first], tk.signed(tk.mix(content + fingerprint * tk.odd(40)))
-
-
-COLUMNS = ["key", "doc", "line", "size"]
-
-
-def _found(window: int):
+    out = [(hashes[:0], text[:0], number[:0], number[:0], number[:0], hashes[:0])]
+    if len(hashes) >= window:
+        content, first = tk.windows(hashes, text, window)
+        bits = np.uint64((1 << len(hashes).bit_length()) - 1)
+        least = sliding_min((hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64), window)
+        selected = (least[first] & bits).astype(np.int64)
+        out.append((tk.mix(hashes[selected] + tk.odd(40)), text[first], number[selected], number[first], np.full(len(first), window), content))
+    if long_words:
+        solid = ~tk.IS_SPACE[data]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        words = np.concatenate(([0], np.cumsum(begins)))
+        long = np.flatnonzero(words[end] - words[start] >= long_words)
+        out.append((tk.mix(hashes[long] + tk.odd(41)), text[long], number[long], number[long], np.ones(len(long), np.int64), tk.mix(hashes[long] + tk.odd(42))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+#: Rows on their way to the place of a fingerprint (key): windows of a selected line from `line` on; or, with
+#: size > 0, a run of lines that is known to be a later occurrence; `known`: the fingerprint occurs elsewhere for sure.
+MARKED = "key long, doc long, line long, size long, span long, known boolean, windows array<long>"
+#: Rows on their way to the place of a window's content.
+COLUMNS = ["key", "doc", "line", "size", "span"]
+
+
+def _settled(content: np.ndarray, doc: np.ndarray, line: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, doc, line, size, span): the first occurrence of each window, and the others as runs (size > 0)."""
+    order = np.lexsort((line, doc, content))
+    content, doc, line, span = (x[order] for x in (content, doc, line, span))
+    first = np.ones(len(content), dtype=bool)
+    first[1:] = content[1:] != content[:-1]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = ~first & ((doc != doc[lead]) | (line != line[lead]))
+    d, s, e = merged(doc[later], line[later], line[later] + span[later])
+    none = np.zeros(int(first.sum()), np.int64)
+    pairs = ((content[first], tk.signed(tk.mix(d.view(np.uint64)))), (doc[first], d), (line[first], s), (none, e - s), (span[first], np.zeros(len(d), np.int64)))
+    return tuple(np.concatenate(x) for x in pairs)
+
+
+def _selected(window: int, long_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the texts; size > 0: a run of lines already known to be a later occurrence."""
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            doc, line, key = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((line, doc, key))
-            doc, line, key = doc[order], line[order], key[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = ~first & ((doc != doc[lead]) | (line != line[lead]))
-            d, s, e = merged(doc[later], line[later], line[later] + window)
-            cols = [np.concatenate(x) for x in ((key[first], tk.signed(tk.mix(d.view(np.uint64)))), (doc[first], d), (line[first], s), (np.zeros(int(first.sum()), np.int64), e - s))]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], COLUMNS)
+            found = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            order = np.lexsort((found[5], found[3], found[2], found[1], found[0]))
+            found = [x[order] for x in found]
+            once = np.ones(len(order), dtype=bool)  # repeated rows of the input are one document
+            once[1:] = np.any([x[1:] != x[:-1] for x in found], axis=0)
+            key, doc, at, line, span, content = (x[once] for x in found)
+            other = np.ones(len(key), dtype=bool)  # another selected line than the row before
+            other[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (line[1:] != line[:-1] + 1)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            group = np.cumsum(new) - 1
+            again = (np.bincount(group, weights=other) > 1)[group]
+            # fingerprints that occur here more than once are settled here; of each a row without windows goes on
+            mark = new & again
+            settled = _settled(content[again], doc[again], line[again], span[again])
+            alone = np.flatnonzero(other & ~again)
+            many = np.bincount((np.cumsum(other & ~again) - 1)[~again], minlength=len(alone))
+            n, m, k = len(alone), int(mark.sum()), len(settled[0])
+            is_window = settled[3] == 0
+            sizes = np.concatenate((many, np.zeros(m, np.int64), is_window.astype(np.int64)))
+            flat = np.concatenate((content[~again], settled[0][is_window]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+            zero = np.zeros(n + m, np.int64)
+            columns = [
+                np.concatenate((key[alone], key[mark], tk.signed(tk.mix(settled[0].view(np.uint64) + tk.odd(43))))), np.concatenate((doc[alone], doc[mark], settled[1])),
+                np.concatenate((line[alone], line[mark], settled[2])), np.concatenate((zero, settled[3])), np.concatenate((span[alone], span[mark], settled[4])),
+            ]
+            known = np.concatenate((np.zeros(n, bool), np.ones(m + k, bool)))
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(known), lists], [c.split(" ")[0] for c in MARKED.split(", ")])
 
         for batch in batches:
             data, offsets, _ = tk.utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in tk.chunks(offsets):
-                text, line, key = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
-                held.append((ids[i:j][text].astype(np.int64), line, key))
+                key, text, at, line, span, content = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, long_words)
+                held.append((tk.signed(key), ids[i:j][text].astype(np.int64), at, line, span, tk.signed(content)))
                 count += len(text)
                 if count > HELD_WINDOWS:
                     yield flush()
@@ -91,29 +156,50 @@ def _found(window: int):
     return run
 
 
-def _later(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows sorted by key, document and line to the runs of lines that are later occurrences."""
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc, line, size = (batch.column(i).to_numpy() for i in range(4))
-            known = size > 0
-            out = [(doc[known], line[known], size[known])]
-            key, doc, line = key[~known], doc[~known], line[~known]
-            if len(key):
-                first = np.concatenate(([True], key[1:] != key[:-1]))
-                lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-                lead_doc, lead_line = doc[lead].copy(), line[lead].copy()
-                if before is not None and before[0] == key[0]:
-                    lead_doc[lead == 0], lead_line[lead == 0] = before[1:]
-                later = (doc != lead_doc) | (line != lead_line)
-                out.append((doc[later], line[later], np.full(int(later.sum()), window)))
-                before = (key[-1], lead_doc[-1], lead_line[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["doc", "line", "size"])
-
-    return run
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MARKED rows sorted by key to the windows around fingerprints that occur more than once, and to known runs."""
+    open_key = None  # of a group that a cut left open
+    for table, cut in sorted_groups(batches, HELD_WINDOWS // 3):
+        key, doc, line, size, span, known = (table.column(i).to_numpy() for i in range(6))
+        lists = table.column(6).combine_chunks()
+        starts = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        many = np.bincount(np.cumsum(new) - 1) > 1
+        many[0] |= key[0] == open_key
+        many[-1] |= cut
+        open_key = key[-1] if cut else None
+        go = np.flatnonzero((many[np.cumsum(new) - 1] | known) & (size == 0))
+        count = np.diff(starts)[go]
+        row = np.repeat(go, count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        settled = _settled(flat[starts[row] + step], doc[row], line[row] + step, span[row])
+        runs = size > 0
+        rest = (key[runs], doc[runs], line[runs], size[runs], np.zeros(int(runs.sum()), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(settled, rest, strict=True)], COLUMNS)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by content, document and line to the runs of lines that are later occurrences."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, line, size, span = (batch.column(i).to_numpy() for i in range(5))
+        known = size > 0
+        out = [(doc[known], line[known], size[known])]
+        key, doc, line, span = key[~known], doc[~known], line[~known], span[~known]
+        if len(key):
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+            lead_doc, lead_line = doc[lead].copy(), line[lead].copy()
+            if before is not None and before[0] == key[0]:
+                lead_doc[lead == 0], lead_line[lead == 0] = before[1:]
+            later = (doc != lead_doc) | (line != lead_line)
+            out.append((doc[later], line[later], span[later]))
+            before = (key[-1], lead_doc[-1], lead_line[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["doc", "line", "size"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +232,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (counts, removed, runs)), pa.array(kept, pa.string())], ["id", "n_lines", "n_removed", "n_runs", "kept_text"])
 
 
-def line_ranges(texts: DataFrame, window: int) -> DataFrame:
+def line_ranges(texts: DataFrame, window: int, long_words: int | None = None) -> DataFrame:
     """(doc, ranges): the lines of texts (id, text), counted over lines with a word, that are later occurrences."""
-    found = texts.mapInArrow(tk.lean(_found(window)), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
-    return found.mapInArrow(tk.lean(_later(window)), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
+    marked = texts.mapInArrow(tk.lean(_selected(window, long_words)), MARKED).repartition("key").sortWithinPartitions("key")
+    found = marked.mapInArrow(tk.lean(_extended), ", ".join(f"{c} long" for c in COLUMNS)).repartition("key").sortWithinPartitions("key", "doc", "line")
+    return found.mapInArrow(tk.lean(_later), "doc long, line long, size long").groupBy("doc").agg(F.collect_list(F.struct("line", "size")).alias("ranges"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """(id_col, n_lines, n_removed, n_runs, kept_text): lines with a word, those deleted, in how many runs, and the rest."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = source.where("id is not null")
-    ranges = line_ranges(texts, window)
+    ranges = line_ranges(texts, window, long_words)
     joined = texts.join(ranges.hint("shuffle_hash"), texts["id"] == ranges["doc"], "left").select("id", "text", "ranges")
     rest = source.where("id is null").withColumn("ranges", F.lit(None).cast("array<struct<line:long,size:long>>"))
     return joined.union(rest).mapInArrow(tk.lean(_cut), "id long, n_lines long, n_removed long, n_runs long, kept_text string").withColumnRenamed("id", id_col)
