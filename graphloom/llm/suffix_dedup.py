@@ -4,18 +4,20 @@ Ranks are given to byte strings that start at text positions; each round sorts
 pairs of ranks at a growing offset and only positions whose rank is not unique
 go on, until the rank stands for `length` bytes.
 
-* *Rank of 32 bytes.* Sorting a rank for every position would move a multiple of
-  the text each round. Every window of `length` bytes owns one 32-byte string, its
+* *Rank of h bytes*, h at most half the length. Sorting a rank for every position would move a
+  multiple of the text each round. Every window of `length` bytes owns one string of h bytes, its
   smallest by hash, so windows that are equal own equal strings at equal places,
   and neighbouring windows mostly own the same: a *run*. One row a run, not one a
   position, is sorted by (rank of the owned string, rank of all the run's bytes).
   Owned strings that are unique leave. A run equal to an earlier one is a
   repeat as a whole. Equal runs of one task meet before the sort.
-* *Ranks of 64 and `length` bytes.* What is left are different runs around an equal
-  string: their bytes are fetched, and within each such group positions are
-  ranked by pairs at offset 32 and then at the offset that reaches `length`;
-  positions that are unique after a round leave; of equal ones all but the
-  earliest are repeats.
+* *Pairs of ranks.* What is left are different runs around an equal string. All their
+  positions are sorted by the pair (rank of the first h bytes, rank of the bytes at offset h),
+  equal pairs get one new rank of 2h bytes, and positions whose pair is unique leave; so on
+  at offset 2h (or the smaller one that ends at `length`), until the rank
+  stands for `length` bytes. Of positions that are then equal all but the earliest are
+  repeats. Ranks of up to h bytes are hashes of the bytes, so that no sort is needed to make them;
+  later ones are numbers that the sort gives. Equal positions of one task meet before the first sort.
 
 A byte goes if a repeat covers it; repeats are judged on the input. Earlier means
 smaller id, or the same document and smaller start.
@@ -33,14 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .store import written
 
-#: Bytes of the first rank.
-SEED = 32
+#: Bytes of the first rank at most.
+SEED = 50
+#: The shortest length: shorter first ranks occur by chance.
+SHORTEST = 64
+#: Positions that a task holds before equal ones among them are settled.
+HELD_POSITIONS = 400_000
 #: Runs that a task holds before equal ones among them are merged.
 HELD_RUNS = 300_000
 
@@ -55,15 +62,22 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def steps(length: int) -> list[int]:
+    """Offsets at which ranks of h = min(SEED, length // 2) bytes cover `length` bytes; the last one overlaps if need be."""
+    h = min(SEED, length // 2)
+    return [*range(0, length - h, h), length - h]
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, start, windows, owned string, all bytes): the runs of windows that own the same string."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
-    grams = tk.grams(data, SEED)
+    h = min(SEED, length // 2)
+    grams = tk.grams(data, h)
     bits = np.uint64((1 << len(data).bit_length()) - 1)
     place = np.arange(len(grams), dtype=np.uint64)
-    owner = (sliding_min((grams & ~bits) | place, length - SEED + 1) & bits).astype(np.int64)
+    owner = (sliding_min((grams & ~bits) | place, length - h + 1) & bits).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = text[: len(owner)] == text[length - 1 :]
     start = np.flatnonzero(inside)
@@ -196,78 +210,133 @@ def _ranked(length: int):
     return run
 
 
-def _fetched(length: int):
+def _positions(length: int):
+    at_steps = steps(length)
+    names = ["rank", "next", "doc", "start", "size", "rest"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, doc, start, bytes) of each open run."""
+        """(id, text, open runs) to the positions of the runs with their first ranks; size > 0: bytes known to be repeats.
+
+        rank, next: of the bytes at the first two steps; rest: at the others.
+        """
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            doc, start, *ranks = (np.concatenate([h[i] for h in held]) for i in range(2 + len(at_steps)))
+            whole = ranks[0]
+            for i, r in enumerate(ranks[1:]):
+                whole = tk.mix(whole * tk.odd(30 + i) + r)
+            order = np.lexsort((start, doc, whole))
+            doc, start, whole, *ranks = (x[order] for x in (doc, start, whole, *ranks))
+            first = np.ones(len(whole), dtype=bool)
+            first[1:] = whole[1:] != whole[:-1]
+            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+            later = ~first & ((doc != doc[lead]) | (start != start[lead]))
+            d, s, e = merged(doc[later], start[later], start[later] + length)
+            n, m = int(first.sum()), len(d)
+            key = tk.mix(d.view(np.uint64) + tk.odd(33))
+            columns = [pa.array(tk.signed(np.concatenate((ranks[0][first], key)))), pa.array(tk.signed(np.concatenate((ranks[1][first], key))))]
+            columns += [pa.array(np.concatenate(x)) for x in ((doc[first], d), (start[first], s), (np.zeros(n, np.int64), e - s))]
+            more = np.stack(ranks[2:], axis=1)[first].ravel() if len(ranks) > 2 else np.zeros(0, np.uint64)
+            sizes = np.concatenate((np.full(n, len(ranks) - 2), np.zeros(m, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(tk.signed(more)))
+            return pa.RecordBatch.from_arrays([*columns, lists], names)
+
         for batch in batches:
             data, offsets, _ = tk.utf8(batch.column(1))
-            text = pa.py_buffer(data)
-            view = memoryview(text)
-            grams, docs, starts, pieces = [], [], [], []
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
-            inner = lists.values
-            gram, start, size = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, size = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             cuts = lists.offsets.to_numpy()
-            for r in range(batch.num_rows):
-                a, b = offsets[r], offsets[r + 1]
-                for x in range(cuts[r], cuts[r + 1]):
-                    at = a + start[x]
-                    end = at + size[x] + length - 1
-                    if end <= b:
-                        grams.append(gram[x]), docs.append(ids[r]), starts.append(start[x])
-                        pieces.append(bytes(view[at:end]))
-                if len(pieces) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], ["gram", "doc", "start", "bytes"])
-                    grams, docs, starts, pieces = [], [], [], []
-            if pieces:
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], ["gram", "doc", "start", "bytes"])
+            for i, j in tk.chunks(offsets):
+                own = data[offsets[i] : offsets[j]]
+                grams = tk.grams(own, min(SEED, length // 2))
+                s, n = start[cuts[i] : cuts[j]], size[cuts[i] : cuts[j]]
+                text = np.repeat(np.arange(i, j), np.diff(cuts[i : j + 1]))
+                # another row with the same id may be shorter than this one, whose runs these are
+                n = np.minimum(n, offsets[text + 1] - offsets[text] - s - length + 1)
+                n = np.maximum(n, 0)
+                row = np.repeat(np.arange(len(s)), n)
+                at = s[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                place = offsets[text[row]] - offsets[i] + at
+                for a in range(0, len(row), HELD_POSITIONS):
+                    some = slice(a, a + HELD_POSITIONS)
+                    held.append((ids[text[row[some]]].astype(np.int64), at[some], *(grams[place[some] + step] for step in at_steps)))
+                    count += len(held[-1][0])
+                    if count >= HELD_POSITIONS:
+                        yield flush()
+                        held, count = [], 0
+        if count:
+            yield flush()
 
     return run
 
 
-def _doubled(length: int):
+def _reranked(length: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Open runs, sorted by (gram, doc, start), to repeats: ranks of 64 and then `length` bytes."""
-        seen = open_gram = None  # final ranks of a group that a cut left open
-        for table, cut in sorted_groups(batches, 20_000):
-            gram, doc, start = (table.column(i).to_numpy() for i in range(3))
-            data, offsets, _ = tk.utf8(table.column(3))
-            once = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
-            names = tk.grams(data, SEED)
-            count = np.where(once, np.diff(offsets) - length + 1, 0)
-            row = np.repeat(np.arange(len(gram)), count)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            p = offsets[row] + at
-            group = gram.view(np.uint64)[row]
-            continued = open_gram is not None and gram[0] == open_gram
-            rank, reach = names[p] + tk.mix(group), SEED
-            while reach < length:
-                step = min(reach, length - reach)
-                # reach doubles; the last step overlaps so that it ends at `length`
-                ahead = names[p + reach + step - SEED] if step >= SEED else names[p + length - SEED]
-                if step > SEED:  # the bytes between: names of SEED bytes each
-                    for more in range(reach, reach + step - SEED, SEED):
-                        rank = tk.mix(rank * tk.odd(30) + names[p + more])
-                rank = tk.mix(rank * tk.odd(31) + ahead)
-                reach += step
-                if not (continued or cut):
-                    _, back, times = np.unique(rank, return_inverse=True, return_counts=True)
-                    stay = times[back] > 1
-                    rank, p, row, at, group = (x[stay] for x in (rank, p, row, at, group))
-            kinds, first = np.unique(rank, return_index=True)  # rows are in order of doc and start
-            repeat = np.ones(len(rank), dtype=bool)
-            repeat[first] = False
-            if continued:
-                repeat |= np.isin(rank, seen)
-            if cut:
-                last = kinds if open_gram is None or not continued else np.union1d(seen, kinds)
-                seen, open_gram = last, gram[-1]
-            elif continued or open_gram is not None:
-                seen = open_gram = None
-            r, a = row[repeat], at[repeat]
-            d, s, e = merged(doc[r], start[r] + a, start[r] + a + length)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(e - s, pa.int64())], ["doc", "start", "size"])
+        """Positions sorted by (rank, next, doc, start): equal pairs get one new rank, unique ones leave.
+
+        In the last round to (doc, start, size): all but the first of equal ones are repeats.
+        """
+        context = TaskContext.get()
+        base = (context.partitionId() if context else 0) << 40
+        classes = 0
+        held = before = None  # a class that may go on: its last row, and (rank, next, new rank) of one that has begun
+
+        def emit(table: pa.Table, ends: bool) -> pa.RecordBatch:
+            """The classes of a table of sorted rows; ends: the last class is known to end with it."""
+            nonlocal classes, before
+            rank, nxt, doc, start, size = (table.column(i).to_numpy() for i in range(5))
+            known = size > 0
+            out = [(doc[known], start[known], size[known])]
+            live = np.flatnonzero(~known)
+            rank, nxt, doc, start = (x[live] for x in (rank, nxt, doc, start))
+            new = np.ones(len(live), dtype=bool)
+            new[1:] = (rank[1:] != rank[:-1]) | (nxt[1:] != nxt[:-1])
+            goes_on = bool(len(live)) and before is not None and (rank[0], nxt[0]) == before[:2]
+            number = np.cumsum(new) - 1
+            many = np.bincount(number) > 1
+            fresh = base + classes + 1 + number
+            if goes_on:
+                many[0] = True
+                fresh[number == 0] = before[2]
+            if len(live):
+                if not ends:
+                    many[-1] = True  # at worst one row too many
+                before = (rank[-1], nxt[-1], int(fresh[-1]))
+                classes += int(number[-1]) + 1
+            if last:
+                repeat = ~new
+                if goes_on:
+                    repeat[0] = True
+                d, s, e = merged(doc[repeat], start[repeat], start[repeat] + length)
+                out.append((d, s, e - s))
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["doc", "start", "size"])
+            go = live[many[number]] if len(live) else live
+            lists = table.column(5).combine_chunks()
+            starts = lists.offsets.to_numpy()
+            rest = lists.values.to_numpy(zero_copy_only=False)
+            k = np.concatenate((go, np.flatnonzero(known)))
+            width = np.maximum(np.diff(starts)[k] - 1, 0)
+            index = np.repeat(starts[k] + 1 - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            ranks = np.concatenate((fresh[many[number]] if len(live) else live, table.column(0).to_numpy()[known]))
+            nexts = np.concatenate((rest[starts[go]], table.column(1).to_numpy()[known]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(rest[index]))
+            columns = [pa.array(x, pa.int64()) for x in (ranks, nexts, *(table.column(i).to_numpy()[k] for i in (2, 3, 4)))]
+            return pa.RecordBatch.from_arrays([*columns, lists], ["rank", "next", "doc", "start", "size", "rest"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [batch] if held is None else [held, batch]
+            table = pa.Table.from_batches(parts).combine_chunks()
+            held = table.slice(table.num_rows - 1).to_batches()[0]  # its class may go on in the next batch
+            if table.num_rows > 1:
+                pair = [table.column(i).to_numpy()[-2:] for i in range(2)]
+                yield emit(table.slice(0, table.num_rows - 1), any(x[0] != x[1] for x in pair))
+        if held is not None:
+            yield emit(pa.Table.from_batches([held]), True)
 
     return run
 
@@ -305,19 +374,29 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(digests, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+POSITIONS = "rank long, next long, doc long, start long, size long, rest array<long>"
+
+
 def repeats(texts: DataFrame, length: int) -> DataFrame:
     """(doc, start, size): byte ranges of texts (id, text) that `length`-byte repeats cover; ranges may overlap."""
     sorted_runs = texts.mapInArrow(tk.lean(_found(length)), ", ".join(f"{c} long" for c in SORTED)).repartition("gram").sortWithinPartitions(*SORTED[:4])
     ranked = written(sorted_runs.mapInArrow(tk.lean(_ranked(length)), "gram long, doc long, start long, size long"), "runs")
-    of_doc = ranked.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "size")).alias("open"))
-    bytes_of = texts.join(of_doc.hint("shuffle_hash"), texts["id"] == of_doc["doc"], "left").where("open is not null").select("id", "text", "open")
-    doubled = bytes_of.mapInArrow(tk.lean(_fetched(length)), "gram long, doc long, start long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "start")
-    return ranked.where("gram is null").select("doc", "start", "size").union(doubled.mapInArrow(tk.lean(_doubled(length)), "doc long, start long, size long"))
+    of_doc = ranked.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("open"))
+    opened = texts.join(of_doc.hint("shuffle_hash"), texts["id"] == of_doc["doc"], "left").where("open is not null").select("id", "text", "open")
+    positions = opened.mapInArrow(tk.lean(_positions(length)), POSITIONS)
+    rounds = len(steps(length)) - 1
+    for k in range(rounds):
+        ordered = positions.repartition("rank", "next").sortWithinPartitions("rank", "next", "doc", "start")
+        last = k == rounds - 1
+        positions = ordered.mapInArrow(tk.lean(_reranked(length, last)), "doc long, start long, size long" if last else POSITIONS)
+        if not last:
+            positions = written(positions, "ranks")
+    return ranked.where("gram is null").select("doc", "start", "size").union(positions)
 
 
 def _with_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    if length < 2 * SEED:
-        raise ValueError(f"length must be {2 * SEED} or more")
+    if length < SHORTEST:
+        raise ValueError(f"length must be {SHORTEST} or more")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = source.where("id is not null").repartition("id")
     found = repeats(source.where("id is not null"), length)

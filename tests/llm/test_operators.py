@@ -188,22 +188,28 @@ def test_suffix_dedup_of_periodic_and_overlapping_texts(spark, monkeypatch):
     want = repeated_bytes(dict(rows), 100)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()}
     assert got == want
-    def cut_small(batches, rows_, real=suffix_dedup.sorted_groups):  # very long groups are handed on in pieces
-        return real((b.slice(i, 2) for b in batches for i in range(0, b.num_rows, 2)), 2)
-
-    monkeypatch.setattr(suffix_dedup, "sorted_groups", cut_small)
+    monkeypatch.setattr(suffix_dedup, "HELD_POSITIONS", 50)
+    for length in (64, 140, 201):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df, length=length).collect()}
+        assert got == repeated_bytes(dict(rows), length)
     import pyarrow as pa
 
-    from graphloom.llm.suffix_dedup import _doubled
-
-    grams = [(1, d, 0, (base[0] + base[1])[:140].encode()) for d in range(7)] + [(2, 9, 5, b"z" * 100), (2, 9, 5, b"z" * 100), (2, 9, 6, b"z" * 101)]
-    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
-    batch = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*grams, strict=True), schema, strict=True)], schema=schema)
-    found = [tuple(r.values()) for b in _doubled(100)(iter([batch])) for r in b.to_pylist()]
-    gone = Counter()
-    for d, s, n in found:
-        gone[d] += n
-    assert all(gone[d] == len(grams[0][3]) for d in range(1, 7)) and gone[0] == 0 and gone[9] == 101
+    # very large classes arrive in pieces, and in every round the same positions go on
+    schema = pa.schema([(c.split(" ")[0], pa.list_(pa.int64()) if c.endswith("array<long>") else pa.int64()) for c in suffix_dedup.POSITIONS.split(", ")])
+    rows = [(1, 5, d, 0, 0, [9]) for d in range(7)] + [(1, 6, 7, 3, 0, [9])] + [(2, 5, 9, s, 0, [s]) for s in (5, 6)] + [(8, 1, 1, 1, 0, [0]), (1 << 60, 1, 4, 0, 140, [])]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + size]], schema) for i in range(0, len(rows), size)]
+        found = [tuple(r.values()) for b in suffix_dedup._reranked(100, True)(iter(batches)) for r in b.to_pylist()]
+        gone = Counter()
+        for d, _, n in found:
+            gone[d] += n
+        assert gone == {1: 100, 2: 100, 3: 100, 4: 240, 5: 100, 6: 100, 9: 100}
+        onward = [tuple(r.values()) for b in suffix_dedup._reranked(130, False)(iter(batches)) for r in b.to_pylist()]
+        assert sorted((d, s, z, n) for _, n, d, s, z, _ in onward if not z) == sorted([(d, 0, 0, 9) for d in range(7)] + [(9, 5, 0, 5), (9, 6, 0, 6)])
+        ranks = {}
+        for r, _, d, _, z, _ in onward:
+            ranks.setdefault(r, set()).add((d, z))
+        assert sorted(map(len, ranks.values())) == [1, 1, 7]
 
 
 def test_language_id(spark, odd, nothing):
