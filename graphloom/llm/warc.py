@@ -4,7 +4,8 @@ A page becomes a response (or, if another page has the same payload of at least
 `least` bytes, a revisit of the one with the smallest id), a request and a
 metadata record; the latter two name the first in WARC-Concurrent-To. Files are
 WARC/1.1, gzip-compressed, written by Spark's text writer (records end in two
-line ends, which is its line separator), so lost tasks are simply run again.
+line ends, which is its line separator), so lost tasks are simply run again. Pages of
+similar size are written together, so that the records of a file bound its bytes.
 
 Reading takes any WARC files (plain or gzip, one member or many) of bounded size
 each. A transaction is put together by the record that the others are concurrent
@@ -12,9 +13,12 @@ to: one grouped shuffle on that identifier joins response or revisit, request an
 metadata into one nested row. Of several records of a kind the one with the
 smallest record id is taken.
 
+Every row with an id is a page with records of its own, named by id, payload digest
+and, of rows that agree in both, a running number in the order of their URLs: ids
+may repeat, with the same payload or another. Rows of one id with one payload never
+revisit each other; a revisit refers to the first of the rows that hold the smallest id.
 Null payloads are empty, null URLs give records without target. Rows with a null
-id are left out. Repeated rows of one id with one payload are one page each and
-never revisit each other. An empty table gives no captures; records without
+id are left out. An empty table gives no captures; records without
 partner give a capture with null parts. Other columns are ignored.
 """
 
@@ -26,23 +30,35 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import new_path, written
 from .textkit import lean
 
 CRLF = "\r\n"
-#: Records in a file at most; a file is read by one task.
-FILE_RECORDS = 6000
+#: Bytes of a file before compression, about; a file is read by one task.
+FILE_BYTES = 64 << 20
+#: Pages of up to so many bytes are written to files together; larger ones have files of their own.
+SIZE_CLASSES = (32 << 10, 1 << 20, 32 << 20)
+#: Bytes of headers, request and metadata that a page has besides its payload, about.
+PAGE_BYTES = 2048
+#: Places that the pages of one payload are dealt to when they look for the first of them.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _record_id(kind: str, page: Column) -> Column:
-    h = F.md5(F.concat(F.lit(kind + ":"), page.cast("string")))
+def _record_id(kind: str, page: Column, digest: Column, copy: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(kind), page.cast("string"), digest, copy.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), *(x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]), F.lit(">"))
 
 
+def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with few, which has one row a key; rows of one key are dealt to SALTS places by the column `by`."""
+    spread = few.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Column:
     """Text of a record; headers that are null are left out."""
     lines = [F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Date: {DATE}{CRLF}")]
@@ -53,28 +69,38 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
 def transactions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
     """(record): the three records of every page as text, in one row each."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).where("page is not null")
-    named = rows.select("page", F.sha2(F.encode("payload", "UTF-8"), 256).alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least)
-    first = named.groupBy("digest").agg(F.min("page").alias("first"))
-    revisits = named.select("page", "digest").join(first.hint("merge"), "digest").where("first < page").select("page", "first").distinct()
-    full = rows.join(revisits.hint("merge"), "page", "left")
+    rows = rows.withColumn("sha", F.sha2(F.encode("payload", "UTF-8"), 256))
+    named = rows.where(F.octet_length("payload") >= least).select("page", "sha")
+    first = named.groupBy("sha").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").drop("last")
+    revisits = salted_join(named, first, "sha", "page").where("first < page").select("page", "sha", "first").distinct()
+    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page", "sha").orderBy("url")) - 1)
+    full = numbered.join(revisits.hint("merge"), ["page", "sha"], "left")
     page, again = F.col("page"), F.col("first").isNotNull()
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
-    own = _record_id("response", page)
-    digest = F.concat(F.lit("sha256:"), F.sha2(F.encode("payload", "UTF-8"), 256))
+    key = page, F.col("sha"), F.col("copy")
+    own = _record_id("response", *key)
+    digest = F.concat(F.lit("sha256:"), F.col("sha"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF * 2))
     common = [("WARC-Record-ID", own), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", common, F.concat(http, "payload"))
-    revisit = _record("revisit", [*common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _record_id("response", F.col("first")))], http)
+    revisit = _record("revisit", [*common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _record_id("response", F.col("first"), F.col("sha"), F.lit(0)))], http)
     path = F.coalesce(F.nullif(F.regexp_replace(target, "^[a-zA-Z]+://[^/?#]*|#.*$", ""), F.lit("")), F.lit("/"))
     host = F.coalesce(F.regexp_extract(target, "^[a-zA-Z]+://([^/?#]*)", 1), F.lit(""))
-    request = _record("request", [("WARC-Record-ID", _record_id("request", page)), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)))
-    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", page)), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF)))
+    request = _record("request", [("WARC-Record-ID", _record_id("request", *key)), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)))
+    metadata = _record("metadata", [("WARC-Record-ID", _record_id("metadata", *key)), ("WARC-Target-URI", target), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF)))
     return full.select(F.explode(F.array(F.when(again, revisit).otherwise(response), request, metadata)).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, **columns) -> None:
-    """Write the transactions of pages as .gz files of WARC records under path."""
-    transactions(pages, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_warc(pages: DataFrame, path: str, payload_col: str = "html", **columns) -> None:
+    """Write the transactions of pages as .gz files of WARC records in folders under path."""
+    size = F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0))
+    kind = sum((F.when(size > bound, 1).otherwise(0) for bound in SIZE_CLASSES), F.lit(0))
+    found = {r[0] for r in pages.select(kind).distinct().collect()} or {0}
+    for k in sorted(found):
+        # equal payloads are of one class, so that each class can be written on its own
+        own = pages.where(kind == k) if len(found) > 1 else pages
+        at_most = 3 * max(1, FILE_BYTES // (SIZE_CLASSES[k] + PAGE_BYTES)) if k < len(SIZE_CLASSES) else 3
+        transactions(own, payload_col=payload_col, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", at_most).text(f"{path}/{k}")
 
 
 _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)[ \t]*$", re.M)
@@ -184,8 +210,10 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
         ),
         "captures",
     )
-    targets = captures.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    revisits = captures.where("record_type = 'revisit'").join(targets.hint("merge"), "refers_to_id", "left")
+    responses = captures.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    again = captures.where("record_type = 'revisit'")
+    targets = responses.join(again.select("refers_to_id").distinct().hint("merge"), "refers_to_id")
+    revisits = salted_join(again, targets, "refers_to_id", "page_id", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     return captures.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(revisits.select(*columns, "refers_to"))
 
