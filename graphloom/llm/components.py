@@ -65,13 +65,17 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shrink: bool = True) -> DataFrame:
     """(node, component) for every node of the undirected edges (a long, b long).
 
+    shrink: forests are made of each task's edges first; of no use where the edges come as forests.
+
     Component is its smallest node. Self loops are kept as nodes only if another
     edge has them; nulls take no part; repeated edges change nothing.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(lean(_shrink), EDGE)
+    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    if shrink:
+        edges = edges.mapInArrow(lean(_shrink), EDGE)
     now, state = written(edges, "edges"), None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

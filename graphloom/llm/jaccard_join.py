@@ -25,9 +25,12 @@ with equal sets fall into one class and only classes are compared.
 3. *Components* of the links, by star contraction.
 
 Results for odd input: null text, empty text and text without words give 0
-shingles and a component of the document alone; repeated rows each give a row;
-rows with a null id keep their set size and have a null component; an empty
-table gives an empty result. Other columns of the input are not looked at.
+shingles and a component of the document alone; repeated rows each give a row.
+Where an id repeats with other texts, each row is a set of its own and has its
+size; the id is one document, linked through any of its rows, and all its rows
+with words share one component. Rows with a null id keep their set size and have
+a null component; an empty table gives an empty result. Other columns of the
+input are not looked at.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from .store import written
 from .suffix_dedup import sorted_groups
 
 #: Shingles that a search holds at once; larger neighbourhoods are searched as pairs of blocks of this many.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 
 
 def bands(limit: int, percent: int) -> list[int]:
@@ -94,7 +97,9 @@ def odd_sketch(own: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _profile(id_col: str, text_col: str, k: int, percent: int, want_keys: bool):
+def _profile(k: int, percent: int, want_keys: bool):
+    """Rows (id, text, row) to (id, row, size, digest, sketch) of their sets, or to (key, digest)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bands(1 << 34, percent), dtype=np.int64)
         seen: set[int] = set()
@@ -107,7 +112,7 @@ def _profile(id_col: str, text_col: str, k: int, percent: int, want_keys: bool):
                 digests = [set_digest(x) for x in sets]
                 if not want_keys:
                     sketches = pa.array([odd_sketch(x) if len(x) else None for x in sets], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.int64()), sketches], ["id", "n", "digest", "sketch"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.int64()), sketches], ["id", "row", "n", "digest", "sketch"])
                     continue
                 keys, owner = [], []
                 for x, d in zip(sets, digests, strict=True):
@@ -315,9 +320,10 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
 
 def _searcher(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (place, crossed, side, node, digest, text) sorted by place; places never span a search."""
+        """Rows (place, crossed, side, node, digest, text) sorted by place and digest; places never span a search."""
         sets: list[np.ndarray] = []
         nodes: list[int] = []
+        last = None
         sides: list[int] = []
         place, crossed, size = None, False, 0
 
@@ -337,8 +343,9 @@ def _searcher(k: int, percent: int):
                         yield flush()
                         sets, nodes, sides, size = [], [], [], 0
                     place, crossed = places[r], cross[r]
-                    if set_digest(own) != digest[r] or (nodes and nodes[-1] == node[r]):
-                        continue  # another row with the same id
+                    if (places[r], digest[r]) == last or set_digest(own) != digest[r]:
+                        continue  # a copy of the row
+                    last = places[r], digest[r]
                     sets.append(own)
                     nodes.append(node[r])
                     sides.append(side[r])
@@ -351,30 +358,35 @@ def _searcher(k: int, percent: int):
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, set_digest): components under Jaccard >= percent/100 of word shingles."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = written(source.mapInArrow(tk.lean(_profile("id", "text", words, percent, False)), "id long, n long, digest long, sketch binary"), "profile")
-    keys = source.where("id is not null").mapInArrow(tk.lean(_profile("id", "text", words, percent, True)), "key long, digest long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+    profile = written(source.mapInArrow(tk.lean(_profile(words, percent, False)), "id long, row long, n long, digest long, sketch binary"), "profile")
+    keys = source.where("id is not null").mapInArrow(tk.lean(_profile(words, percent, True)), "key long, digest long")
     groups = written(keys.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tk.lean(_groups), "group long, member long, star boolean"), "groups")
-    classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # a class is read again from the row with its smallest id: row tells it from others of that id
+    classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = classes.select("digest", F.col("first.id").alias("node"), F.col("first.row").alias("row"), "n", "sketch")
     # joins that move texts or grow with the input are never broadcast
     compared = groups.where("not star").select("group", "member").distinct().join(classes.hint("merge"), F.col("member") == F.col("digest")).select("group", "member", "n", "sketch")
     alike = compared.repartition("group").sortWithinPartitions("group", "member").mapInArrow(tk.lean(_alike(percent)), "a long, b long")
-    near = components(alike.union(groups.where("star").select("group", "member")))
+    near = components(alike.union(groups.where("star").select("group", "member")), shrink=False)
     classes = classes.drop("sketch")
-    members = written(classes.join(near.withColumnRenamed("node", "digest").hint("merge"), "digest").select("digest", "node", "n", F.col("component").alias("area")), "areas")
+    members = written(classes.join(near.withColumnRenamed("node", "digest").hint("merge"), "digest").select("digest", "node", "row", "n", F.col("component").alias("area")), "areas")
     sizes = members.groupBy("area").agg(F.sum("n").alias("total"))
     blocked = members.join(sizes.hint("merge"), "area").withColumn("blocks", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     # a block meets itself and every other block of its area once; small areas are one block
     placed = blocked.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
     placed = placed.select(
-        F.col("node").alias("id"), "node", "digest",
+        F.col("node").alias("id"), "row", "node", "digest",
         F.xxhash64("area", F.least("own", "other"), F.greatest("own", "other")).alias("place"),
         (F.col("own") != F.col("other")).alias("crossed"), F.col("own").alias("side"),
     )
-    rows = source.join(placed.hint("merge"), "id").select("place", "crossed", "side", "node", "digest", "text")
-    links = rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(tk.lean(_searcher(words, percent)), "a long, b long")
-    linked = components(links)
+    rows = source.join(placed.hint("merge"), ["id", "row"]).select("place", "crossed", "side", "node", "digest", "text")
+    links = rows.repartition("place").sortWithinPartitions("place", "digest").mapInArrow(tk.lean(_searcher(words, percent)), "a long, b long")
+    # an id with several sets links the classes of all of them
+    several = profile.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("id")
+    own_sets = profile.where("n > 0").select("id", "digest").join(several.hint("merge"), "id").distinct().join(classes.select("digest", "node").hint("merge"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    linked = components(links.union(own_sets), shrink=False)
     label = classes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = profile.join(label.withColumnRenamed("digest", "d").hint("merge"), (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("digest").alias("set_digest"))
@@ -387,20 +399,22 @@ def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents where text is not null),
-s as (select distinct doc_id, case when len(ws) < 4 then ws else list_slice(ws, i, i + 3) end g from w, unnest(range(1, greatest(len(ws) - 2, 2))) u(i) where len(ws) > 0),
-n as (select doc_id, count(*) n from s group by 1),
-c as (select a.doc_id x, b.doc_id y, count(*) both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-k as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * both_ >= 85 * (p.n + q.n - both_)),
-e as (select x, y from k union all select y, x from k),
-r(doc_id, root) as (select doc_id, doc_id from n union select e.y, r.root from r join e on e.x = r.doc_id)
-select d.doc_id, coalesce(max(n.n), 0)::bigint n_shingles, coalesce(min(r.root), d.doc_id) component_id
-from documents d left join n using (doc_id) left join r using (doc_id) group by d.doc_id
+with recursive d as (select row_number() over () r, doc_id, text from documents),
+w as (select r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from d where text is not null),
+s as (select distinct r, case when len(ws) < 4 then ws else list_slice(ws, i, i + 3) end g from w, unnest(range(1, greatest(len(ws) - 2, 2))) u(i) where len(ws) > 0),
+n as (select r, count(*) n from s group by 1),
+c as (select a.r x, b.r y, count(*) both_ from s a join s b on a.g = b.g and a.r < b.r group by 1, 2),
+k as (select distinct dx.doc_id x, dy.doc_id y from c join n p on p.r = x join n q on q.r = y join d dx on dx.r = x join d dy on dy.r = y where 100 * both_ >= 85 * (p.n + q.n - both_) and dx.doc_id <> dy.doc_id),
+e as (select x, y from k union select y, x from k),
+t(doc_id, root) as (select distinct doc_id, doc_id from n join d using (r) union select e.y, t.root from t join e on e.x = t.doc_id),
+m as (select doc_id, min(root) root from t group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, case when n.n is null then d.doc_id else m.root end component_id
+from d left join n using (r) left join m on m.doc_id = d.doc_id
 """
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest id stays."""
+    """Pipeline stage: of each group of near duplicates the document with the smallest id stays; the rows of an id stay or go together."""
     parts = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
     gone = parts.where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
