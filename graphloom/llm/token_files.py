@@ -9,7 +9,8 @@ about `block_ids` ids together; a longer document has blocks of its own, its
 parts. Any block can be decoded without any other.
 
 Null text counts as empty: the end id alone. Rows with a null id come first and
-keep the null. Repeated rows are repeated. An empty table gives an empty file.
+keep the null. Repeated rows are repeated; of rows with one id the one with the
+smaller text comes first. An empty table gives an empty file.
 Damaged blocks raise an error that names shard and block. Other columns are
 ignored.
 """
@@ -107,8 +108,8 @@ def _coded(tokenizer: str, end_id: int, block_ids: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all documents, in ascending order of id, each followed by end_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInArrow(lean(_coded(tokenizer, end_id, block_ids)), FORMAT).write.parquet(path)
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered.mapInArrow(lean(_coded(tokenizer, end_id, block_ids), models=True), FORMAT).write.parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
