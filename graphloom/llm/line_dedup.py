@@ -77,6 +77,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, window: int, long_words:
         solid = ~tk.IS_SPACE[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
+        begins[start] = solid[start]  # also where the text before ends in a word
         words = np.concatenate(([0], np.cumsum(begins)))
         long = np.flatnonzero(words[end] - words[start] >= long_words)
         out.append((tk.mix(hashes[long] + tk.odd(41)), text[long], number[long], number[long], np.ones(len(long), np.int64), tk.mix(hashes[long] + tk.odd(42))))
@@ -256,8 +257,11 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: later occurrences of runs of lines leave the texts; documents stay, if need be with an empty text."""
-    ranges = line_ranges(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), WINDOW)
+    """Pipeline stage: later occurrences of runs of lines, or of one line of LONG_WORDS words, leave the texts.
+
+    Documents stay, if need be with an empty text.
+    """
+    ranges = line_ranges(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), WINDOW, LONG_WORDS)
     return rewritten(docs, ranges, _cut)
 
 

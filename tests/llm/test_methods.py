@@ -111,3 +111,161 @@ def test_packing_uses_several_sizes(spark):
     assert long.piece.tolist() == list(range(len(long))) and (long.token_start == long.piece * 4096).all()
     spots = out.sort_values(["bin", "bin_start"])
     assert ((spots.bin_start + spots.n_tokens).groupby(spots.bin).shift(fill_value=0) == spots.bin_start).all()
+
+
+# -- ids that repeat, ties
+
+
+def sql_rows(sql, **tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for name, path in tables.items():
+        c.sql(f"create view {name} as select * from '{path}/*.parquet'")
+    q = c.sql(sql)
+    return q.columns, q.fetchall()
+
+
+def test_warc_keeps_every_row_of_repeated_ids(spark, tmp_path):
+    from graphloom.llm import warc
+
+    x, y, z = "x" * 120, "y" * 150, "z" * 40_000
+    rows = [(1, "a", x), (1, "a", x), (1, "a", y), (2, "b", x), (3, "c", y), (3, "d", y), (4, None, "short"), (4, None, "short"), (5, "e", z), (6, "f", z)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "sf/pages.parquet"))
+    columns, want = sql_rows(warc.OP8_SQL, pages=tmp_path / "sf/pages.parquet")
+    got = [tuple(r[c] for c in columns) for r in warc.op8_warc(spark, str(tmp_path / "sf")).collect()]
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_jaccard_links_through_any_row_of_an_id(spark, tmp_path):
+    from graphloom.llm import jaccard_join
+
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(100, 200)), (1, text(107, 207)), (9, text(114, 214)), (8, text(93, 193)), (7, text(500, 540)), (7, ""), (7, text(500, 540)), (5, None), (6, text(501, 541)), (6, text(900, 910)), (4, text(900, 910)), (9, text(700, 710))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "sf/documents.parquet"))
+    columns, want = sql_rows(jaccard_join.OP1_SQL, documents=tmp_path / "sf/documents.parquet")
+    got = [tuple(r[c] for c in columns) for r in jaccard_join.op1_jaccard_join(spark, str(tmp_path / "sf")).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[0]: r[2] for r in got if r[1]} == {1: 1, 9: 1, 8: 1, 7: 4, 6: 4, 4: 4}
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    from graphloom.llm import graph_ann
+
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, i / 100]) for i in range(60, 0, -1)]
+    got = sorted(tuple(r) for r in graph_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("query_id = 0").collect())
+    assert [(r[1], r[2], r[3]) for r in got] == [(i, i, 1.0) for i in range(1, 21)]
+
+
+def test_token_files_order_rows_of_one_id(spark, tmp_path):
+    from graphloom.llm import token_files
+
+    path = P.path("byte_bpe_50k.json")
+    rows = [(5, "beta gamma delta"), (6, "z"), (5, "alpha"), (5, None), (None, "b"), (None, "a")]
+    seen = []
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        out = str(tmp_path / str(k))
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), out, path)
+        seen.append(sorted(map(str, token_files.read_digests(spark, out).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 6
+    starts = [(r.start, r.n_tokens) for r in token_files.read_digests(spark, out).where("id = 5").orderBy("start").collect()]
+    assert [n for _, n in starts] == [1, len(encoded("alpha")) + 1, len(encoded("beta gamma delta")) + 1]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def encoded(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+# -- winnowing
+
+
+def plain_line_ranges(docs, window, long_words):
+    """Lines to delete, {id: numbers among lines with a word}, by comparing every run of lines with all earlier ones."""
+    import re
+
+    seen, gone = set(), {}
+    for d in sorted(docs):
+        own = [x for x in docs[d].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        out = set()
+        for i in range(len(own)):
+            runs = [own[i : i + window]] if i + window <= len(own) else []
+            if long_words and len(re.findall(r"[^\x20\x09-\x0D]+", own[i])) >= long_words:
+                runs.append([own[i]])
+            for run in runs:
+                key = (len(run), tuple(run))
+                if key in seen:
+                    out |= set(range(i, i + len(run)))
+                seen.add(key)
+        gone[d] = out
+    return gone
+
+
+@pytest.mark.parametrize("window, long_words", [(3, None), (3, 4), (2, 3), (5, None), (1, None)])
+def test_winnowing_equals_plain_comparison(spark, monkeypatch, window, long_words):
+    from graphloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HELD_WINDOWS", 40)
+    rnd = random.Random(window)
+    passage = [f"line {i} of it" for i in range(9)]
+    docs = {}
+    for d in range(120):
+        own = [rnd.choice(["a", "b", "c", "", "one two three four", "five six seven", f"only {d} {rnd.random()}"]) for _ in range(rnd.randint(0, 9))]
+        if d % 3 == 0:
+            cut = rnd.randint(0, 6)
+            own[1:1] = passage[cut : cut + rnd.randint(1, 6)]
+        docs[d] = "\n".join(own)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    want = plain_line_ranges(docs, window, long_words)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, window=window, long_words=long_words).collect()}
+    assert {d: r.n_removed for d, r in got.items()} == {d: len(w) for d, w in want.items()} and any(want.values())
+    for d, t in docs.items():
+        k, stay = -1, []
+        for x in t.split("\n"):
+            k += bool(x.strip())
+            if not (x.strip() and k in want[d]):
+                stay.append(x)
+        assert got[d].kept_text == "\n".join(stay)
+
+
+def test_only_window_minima_are_sent():
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+    from graphloom.llm.textkit import utf8
+
+    text = "\n".join(f"line number {i}" for i in range(3000))
+    data, offsets, _ = utf8(pa.array([text]))
+    key, _, at, line, _, _ = line_dedup.fingerprints(data, offsets, 3)
+    assert len(line) == 2998 and 0.45 < len(np.unique(at)) / 3000 < 0.55 and ((at >= line) & (at < line + 3)).all()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    assert sum(b.num_rows for b in line_dedup._selected(3, None)(iter([batch]))) == len(np.unique(at))
+
+
+def test_positions_around_a_fingerprint_of_very_many_rows():
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    names = [c.split(" ")[0] for c in line_dedup.MARKED.split(", ")]
+    rows = [(3, d, 5, 0, 3, False, [70, 71 + d]) for d in range(40)] + [(4, 1, 1, 0, 3, False, [9])] + [(5, 2, 2, 0, 3, True, [8]), (6, 2, 0, 4, 0, True, [])]
+    schema = pa.schema([(n, pa.bool_() if n == "known" else pa.list_(pa.int64()) if n == "windows" else pa.int64()) for n in names])
+
+    def run(step, held):
+        line_dedup.HELD_WINDOWS, before = held, line_dedup.HELD_WINDOWS
+        try:
+            batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + step]], schema) for i in range(0, len(rows), step)]
+            return [tuple(r.values()) for b in line_dedup._extended(iter(batches)) for r in b.to_pylist()]
+        finally:
+            line_dedup.HELD_WINDOWS = before
+
+    for step, held in ((1, 6), (7, 12), (100, 1000)):
+        found = run(step, held)
+        windows = {(k, d, n) for k, d, n, size, _ in found if not size}
+        assert {(71 + d, d, 6) for d in range(40)} <= windows and (8, 2, 2) in windows and (70, 0, 5) in windows and not any(k == 9 for k, _, _ in windows)
+        later = {(d, n) for _, d, n, size, _ in found if size == 3} | {(d, n) for k, d, n in windows if k == 70}
+        assert later == {(d, 5) for d in range(40)} and any(f[1:4] == (2, 0, 4) for f in found)

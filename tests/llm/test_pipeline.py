@@ -18,13 +18,13 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "jaccard_join", "suffix_dedup", "best_fit"]
-    from graphloom.llm.line_dedup import line_dedup
+    from graphloom.llm.line_dedup import LONG_WORDS, line_dedup
     from graphloom.llm.store import written
 
     recognised = written(stages["language_id"](spark, docs, SF), "t")
     assert recognised.columns == docs.columns and set(texts(recognised)) == {d for d, t in texts(docs).items() if t and any(c.isalpha() for c in t)}
     lines = written(stages["line_dedup"](spark, recognised, SF), "t")
-    assert texts(lines) == {r.doc_id: r.kept_text for r in line_dedup(recognised).collect()} and lines.columns == docs.columns
+    assert texts(lines) == {r.doc_id: r.kept_text for r in line_dedup(recognised, long_words=LONG_WORDS).collect()} and lines.columns == docs.columns
     near = written(stages["jaccard_join"](spark, lines, SF), "t")
     sets = {d: shingles(t, 5) for d, t in texts(lines).items()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
