@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over the documents table, each written and read again before the next.
 
 1. language_id: documents that language identification rejects go.
-2. line_dedup: later occurrences of runs of three or more lines leave the texts.
+2. line_dedup: later occurrences of runs of three or more lines, or of one line of 50 words or more, leave the texts.
 3. jaccard_join: of each group of near duplicates (five-word shingles, 0.8) the smallest id stays.
 4. suffix_dedup: later occurrences of 100-byte strings leave the texts.
 5. best_fit: what is left is packed into sequences of 512 to 4096 tokens.
