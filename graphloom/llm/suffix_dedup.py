@@ -400,7 +400,7 @@ def _with_repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> t
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = source.where("id is not null").repartition("id")
     found = repeats(source.where("id is not null"), length)
-    ranges = found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
+    ranges = written(found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges")), "ranges")  # shuffles end here
     joined = texts.join(ranges.hint("shuffle_hash"), texts["id"] == ranges["doc"], "left").select("id", "text", "ranges")
     return joined, source.where("id is null").withColumn("ranges", F.lit(None).cast("array<struct<start:long,size:long>>"))
 
@@ -454,4 +454,5 @@ def rewritten(docs: DataFrame, ranges: DataFrame, cut) -> DataFrame:
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: 100-byte repeats leave the texts; characters that removal splits go as well."""
     found = repeats(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), 100)
-    return rewritten(docs, found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges")), _cut)
+    ranges = written(found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges")), "ranges")
+    return rewritten(docs, ranges, _cut)
