@@ -157,6 +157,25 @@ def test_nearest_breaks_ties_by_id(spark):
     assert [(r[1], r[2], r[3]) for r in got] == [(i, i, 1.0) for i in range(1, 21)]
 
 
+def test_nearest_without_clusters(spark):
+    """Vectors without any structure, in full shards: most neighbours are still found."""
+    import numpy as np
+
+    from graphloom.llm import graph_ann
+
+    x = np.random.default_rng(5).normal(size=(5000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in graph_ann.nearest(df, every=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 5000, 50):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (100 * 20) >= 0.9
+
+
 def test_token_files_order_rows_of_one_id(spark, tmp_path):
     from graphloom.llm import token_files
 
