@@ -78,7 +78,7 @@ class Engine:
     def run(self, query: A.Query, infer: str | None = None) -> Result:
         select = query.select
         if infer == "rdfs":
-            select = rewrite(select)
+            select = rewrite(select, self.source)
         frame = reject_cap(Compiler(self.source).select(select), self.cap)
         return Result(query.form, list(frame.cols), frame)
 

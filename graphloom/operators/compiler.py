@@ -18,8 +18,8 @@ from ..functions.expressions import Compiler as Expressions
 from ..functions.expressions import Unsupported, Value, of_shape
 from ..plans import algebra as A
 from . import joins
-from .frame import Frame, empty, fresh_name, unit
-from .paths import Pairs, Paths, inverted, plain
+from .frame import Frame, empty, fresh_name, unit, written
+from .paths import Pairs, Paths, has_closure, inverted, plain
 
 
 class Compiler:
@@ -28,6 +28,7 @@ class Compiler:
         self.spark = source.spark
         self.paths = Paths(source)
         self._closures: dict = {}
+        self._kept: list = []  # frames that closures are known by
 
     # -- patterns
     def pattern(self, p: A.Pattern, seed: Frame | None = None) -> Frame:
@@ -38,7 +39,7 @@ class Compiler:
             case A.PathPattern():
                 return self.path(p)
             case A.Join():
-                return joins.join(self.pattern(p.left, seed), self.pattern(p.right, seed))
+                return self.join(p, seed)
             case A.LeftJoin():
                 return self.left_join(p, seed)
             case A.Union():
@@ -57,6 +58,18 @@ class Compiler:
                 return self.select(p)
         raise Unsupported(f"unsupported pattern {type(p).__name__}")
 
+    def join(self, p: A.Join, seed: Frame | None) -> Frame:
+        """A path with a closure beside another pattern starts at the nodes which that pattern gives."""
+        for path, other in ((p.right, p.left), (p.left, p.right)):
+            if isinstance(path, A.PathPattern) and not (isinstance(other, A.PathPattern) and path is p.left) and has_closure(path.path):
+                frame = self.pattern(other, seed)
+                beside = None
+                if isinstance(path.s, A.Var) and isinstance(path.o, A.Var) and path.s != path.o:
+                    beside = next(((frame, node.name, back) for node, back in ((path.s, False), (path.o, True)) if node.name in frame.bound), None)
+                pairs = self.path(path, beside)
+                return joins.join(pairs, frame) if path is p.left else joins.join(frame, pairs)
+        return joins.join(self.pattern(p.left, seed), self.pattern(p.right, seed))
+
     def _seeded(self, frame: Frame, seed: Frame | None, names: set[str]) -> Frame:
         wanted = [v for v in (seed.cols if seed is not None else ()) if v in names and v not in frame.cols]
         if not wanted:
@@ -79,13 +92,23 @@ class Compiler:
         condition = None
         if p.condition is not None:
             if A.has_exists(p.condition):
-                raise Unsupported("EXISTS in the filter of an OPTIONAL is not supported")
+                return self.left_join_exists(left, right, p.condition)
 
             def condition(scope):
                 return Expressions(scope).ebv(p.condition)
 
         return joins.left_join(left, right, condition)
 
+    def left_join_exists(self, left: Frame, right: Frame, condition: A.Expr) -> Frame:
+        """OPTIONAL whose filter holds EXISTS: rows are numbered, so that those without a match can be told."""
+        numbered = left.with_column("__row", F.monotonically_increasing_id(), T.INTEGER, True)
+        numbered = replace(numbered, df=written(numbered.df))
+        matched = self.filter(joins.join(numbered, right), condition)
+        seen = matched.df.select(matched.col("__row").alias("__seen")).distinct()
+        alone = replace(numbered, df=numbered.df.join(seen, numbered.col("__row") == F.col("__seen"), "left_anti"))
+        both = joins.union([matched, alone])
+        return replace(both.only([v for v in both.cols if v != "__row"]), bound=set(left.bound))
+
     # -- expressions
     def filter(self, frame: Frame, condition: A.Expr) -> Frame:
         for c in A.conjuncts(condition):
@@ -183,12 +206,18 @@ class Compiler:
         for k in p.keys:
             if k not in frame.cols:
                 raise Unsupported(f"GROUP BY variable ?{k} is not in scope")
+        aggregates = []
+        for name, agg in p.aggregates:
+            if agg.arg is not None and A.has_exists(agg.arg):
+                hidden = f"__arg_{fresh_name()}"
+                frame, agg = self.extend(frame, hidden, agg.arg), replace(agg, arg=A.VarExpr(hidden))
+            aggregates.append((name, agg))
         outs, cols, bound = [], {}, set(p.keys) & frame.bound
         columns = [frame.cols[k][0] for k in dict.fromkeys(p.keys)]
         for k in p.keys:
             cols[k] = frame.cols[k]
         shapes = {}
-        for name, agg in p.aggregates:
+        for name, agg in aggregates:
             column, shape, sure = self.aggregate(frame, agg, bool(p.keys))
             alias = fresh_name()
             outs.append(column.alias(alias))
@@ -212,8 +241,6 @@ class Compiler:
             return c, T.INTEGER, True
         if agg.name in ("SUM", "AVG"):
             scope = lambda v: frame.value(v) if v in frame.cols else None
-            if A.has_exists(agg.arg):
-                raise Unsupported(f"EXISTS in {agg.name} is not supported")
             value = Expressions(scope).value(agg.arg)
             x = value.number()
             total = {"SUM": F.sum_distinct if agg.distinct else F.sum, "AVG": (lambda c: F.sum_distinct(c) / F.count_distinct(c)) if agg.distinct else F.avg}[agg.name](x)
@@ -278,16 +305,21 @@ class Compiler:
         return Frame(df, cols, bound, 0)
 
     # -- paths
-    def path(self, p: A.PathPattern) -> Frame:
+    def path(self, p: A.PathPattern, beside: tuple[Frame, str, bool] | None = None) -> Frame:
+        """beside: (frame, variable, whether it is the end): rows whose values of a variable are the only starts wanted."""
         path, s, o = plain(p.path), p.s, p.o
-        if isinstance(s, A.Var) and isinstance(o, A.Const):
+        if isinstance(s, A.Var) and isinstance(o, A.Const) or beside and beside[2]:
             path, s, o = plain(inverted(path)), o, s
         seeds = None
         if isinstance(s, A.Const):
-            seeds = Pairs(self.spark.createDataFrame([(s.key,)], "s string"), T.KEY)
-        memo = (path, s if isinstance(s, A.Const) else None)
+            seeds = Pairs(self.spark.createDataFrame([(s.key,)], "s string"), T.KEY, (s.key,))
+        elif beside:
+            frame, name, _ = beside
+            seeds = Pairs(frame.df.select(frame.col(name).alias("s")).distinct(), frame.shape(name))
+        memo = (path, s if isinstance(s, A.Const) else None, id(beside[0]) if beside else None)
         if memo not in self._closures:
             self._closures[memo] = self.paths.pairs(path, seeds)
+            self._kept.append(beside)
         pairs = self._closures[memo]
         df, shape = pairs.df, pairs.shape
         if isinstance(s, A.Const) and isinstance(o, A.Const):
@@ -301,7 +333,7 @@ class Compiler:
             name = fresh_name()
             return Frame(df.where("s = o").select(F.col("s").alias(name)).distinct(), {s.name: (name, shape)}, {s.name}, 1e6)
         a, b = fresh_name(), fresh_name()
-        first, second = (p.s.name, p.o.name)
+        first, second = (s.name, o.name)
         out = df.select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
         return Frame(out, {first: (a, shape), second: (b, shape)}, {first, second}, 1e7)
 

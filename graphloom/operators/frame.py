@@ -27,7 +27,11 @@ class Frame:
     df: DataFrame
     cols: dict[str, tuple[str, T.Shape]]
     bound: set[str] = field(default_factory=set)
-    size: float = 1e9  # an estimate in bytes, to put small inputs first
+    size: float = 1e9  # an estimate in bytes or rows, to order joins
+    distinct: dict[str, float] = field(default_factory=dict)  # estimates of different values, where there are better ones than the root of size
+
+    def values_of(self, var: str) -> float:
+        return max(1.0, min(self.size, self.distinct.get(var, self.size**0.5)))
 
     def col(self, var: str) -> Column:
         return F.col(self.cols[var][0])
@@ -59,6 +63,10 @@ class Frame:
         columns = [F.col(c) for c, _ in cols.values()] or [F.lit(1).alias(fresh_name())]
         return replace(self, df=self.df.select(*columns), cols=cols, bound=self.bound & set(variables))
 
+    def df_of(self, s: str, o: str, p: str) -> DataFrame:
+        """(s, p, o) of two variables and a constant."""
+        return self.df.select(self.col(s).alias("s"), F.lit(p).alias("p"), self.col(o).alias("o"))
+
     def keyed(self, var: str) -> Frame:
         """The variable as keys."""
         if self.shape(var) == T.KEY:
@@ -82,11 +90,14 @@ def empty(spark: SparkSession, variables: list[str]) -> Frame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints; in a local session without one, a temporary folder."""
     import atexit
+    import re
     import shutil
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, path, True)
         found = f"file://{path}"
@@ -99,4 +110,14 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again."""
+    spark, path = df.sparkSession, getattr(df, "_graphloom_path", None)
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -205,8 +205,14 @@ def semi(left: Frame, right: Frame, keep: bool = True, condition: Condition | No
 
 
 def marked(left: Frame, right: Frame, condition: Condition | None = None) -> tuple[Frame, str]:
-    """left with a column that says whether a compatible right row exists."""
+    """left with a column that says whether a compatible right row exists: one join where all shared variables are bound."""
     name = fresh_name()
+    shared = [v for v in left.cols if v in right.cols]
+    if shared and condition is None and all(v in left.bound and v in right.bound for v in shared):
+        hidden, other = f"__mark_{name}", _apart(left, right)
+        keys = replace(other.only(shared), df=other.df.select(*(other.col(v) for v in shared)).distinct().withColumn(name, F.lit(True)))
+        df = left.df.join(keys.df, _all([same(left, keys, v) for v in shared]), "left")
+        return Frame(df.select(*left.df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name)), {**left.cols, hidden: (name, T.BOOLEAN)}, left.bound | {hidden}, left.size), hidden
     yes, no = semi(left, right, True, condition), semi(left, right, False, condition)
     hidden = f"__mark_{name}"
     both = union([yes.with_column(hidden, F.lit(True), T.BOOLEAN, True), no.with_column(hidden, F.lit(False), T.BOOLEAN, True)])

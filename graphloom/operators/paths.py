@@ -1,7 +1,8 @@
 """Property paths: sets of (start, end) pairs; closures by semi-naive joins.
 
-A closure keeps the pairs found so far and extends only the newest by one edge,
-each round written to the shared folder. Edge sets of at most `LOCAL_EDGES`
+A closure from given starts keeps the pairs found so far and extends only the newest by one
+edge; the closure of all pairs doubles the length of its paths each round. Each
+round is written to the shared folder, and tables that later rounds replace are deleted. Edge sets of at most `LOCAL_EDGES`
 (counted, not guessed) are walked on the driver instead, since a round of joins
 costs more than the whole walk; larger ones, or ones with more pairs than
 `LOCAL_PAIRS`, never are.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans import algebra as A
-from .frame import written
+from .frame import dropped, written
 
 LOCAL_EDGES = 20_000
 LOCAL_PAIRS = 200_000
@@ -25,10 +26,14 @@ LOCAL_PAIRS = 200_000
 
 @dataclass
 class Pairs:
-    """df(s, o), distinct, without nulls; one shape for both ends."""
+    """df(s, o), distinct, without nulls; one shape for both ends.
+
+    constants: of a set of nodes, their keys, where they come from the query.
+    """
 
     df: DataFrame
     shape: T.Shape
+    constants: tuple[str, ...] = ()
 
     def keyed(self) -> Pairs:
         if self.shape == T.KEY:
@@ -69,6 +74,17 @@ def plain(path: A.Path) -> A.Path:
     return path
 
 
+def has_closure(path: A.Path) -> bool:
+    match path:
+        case A.Repeat():
+            return True
+        case A.Inverse():
+            return has_closure(path.path)
+        case A.Sequence() | A.Either():
+            return has_closure(path.left) or has_closure(path.right)
+    return False
+
+
 class Paths:
     """Evaluates paths over a source that gives edges(iri), edges_but(iris) and nodes()."""
 
@@ -146,7 +162,7 @@ class Paths:
         nodes = self.source.nodes()
         if seeds is None:
             return Pairs(nodes.df.select("s", F.col("s").alias("o")), nodes.shape)
-        known = self.source.among_nodes(self.nodes_keyed(seeds))
+        known = self.source.among_nodes(seeds if seeds.constants else self.nodes_keyed(seeds))
         return Pairs(known.df.select("s", F.col("s").alias("o")), known.shape)
 
     def closure(self, edges: Pairs, seeds: Pairs | None) -> Pairs:
@@ -157,9 +173,10 @@ class Paths:
         if local is not None:
             return local
         links = written(edges.df.distinct())
+        if seeds is None:
+            return Pairs(self._doubled(links), edges.shape)
         step = links.select(F.col("s").alias("m"), F.col("o").alias("e"))
-        start = links if seeds is None else links.join(seeds.df.distinct(), "s", "left_semi")
-        found = newest = written(start)
+        found = newest = written(links.join(seeds.df.distinct(), "s", "left_semi"))
         while True:
             reached = newest.join(step, newest["o"] == step["m"]).select("s", F.col("e").alias("o")).distinct()
             newest = written(reached.join(found, ["s", "o"], "left_anti"))
@@ -167,6 +184,18 @@ class Paths:
                 return Pairs(found, edges.shape)
             found = found.union(newest)
 
+    def _doubled(self, found: DataFrame) -> DataFrame:
+        """All pairs: a round joins the pairs found with themselves, so paths of up to 2**n edges take n rounds."""
+        known = found.count()
+        while True:
+            ends = found.select(F.col("s").alias("m"), F.col("o").alias("e"))
+            longer = found.join(ends, found["o"] == ends["m"]).select("s", F.col("e").alias("o"))
+            more = written(found.union(longer).distinct())
+            dropped(found)
+            found, before, known = more, known, more.count()
+            if known == before:
+                return found
+
     def _walked(self, edges: Pairs, seeds: Pairs | None) -> Pairs | None:
         """The closure by breadth-first walks on the driver, or None if edges, starts or pairs are too many."""
         rows = edges.df.limit(LOCAL_EDGES + 1).collect()

@@ -81,8 +81,10 @@ class Graph(Source):
             if "pb" in df.columns:
                 df = df.where(F.col("pb") == predicate_bucket(F.lit(t.p.key)))
             if self.counts:
-                size = 5.0 * self.counts.get(t.p.key, 0 if len(self.counts) < 10_000 else 1)
-        return pattern_frame(df, ("s", "p", "o"), (T.KEY,) * 3, t, size, lambda c, _, k: c == F.lit(k))
+                size = 5.0 * self.counts.get(t.p.key, 0 if len(self.counts) < 10_000 else 1)  # a bound predicate divides it by 5
+        # a subject has few triples of a predicate
+        subjects = max(1.0, size / 10) if isinstance(t.p, A.Const) else None
+        return pattern_frame(df, ("s", "p", "o"), (T.KEY,) * 3, t, size, lambda c, _, k: c == F.lit(k), (subjects, 5.0, None))
 
     def query(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         """Triples that match the keys given."""
@@ -133,8 +135,10 @@ class Graph(Source):
 
     # -- changing
     def insert(self, triples: list[tuple[str, str, str]]) -> Graph:
-        new = self.spark.createDataFrame(triples, ntriples.TRIPLES)
-        return Graph(self.spark, self.triples.select("s", "p", "o").union(new).distinct(), self.counts)
+        # the few new triples take the place of equal ones; the graph is not made distinct again
+        new = self.spark.createDataFrame(sorted(set(triples)), ntriples.TRIPLES)
+        old = self.triples.select("s", "p", "o").join(new, ["s", "p", "o"], "left_anti")
+        return Graph(self.spark, old.union(new), self.counts)
 
     def delete(self, triples: list[tuple[str, str, str]]) -> Graph:
         gone = self.spark.createDataFrame(triples, ntriples.TRIPLES)
@@ -183,6 +187,7 @@ class Version:
     number: int
     base: str
     changes: tuple[tuple[str, bool], ...] = ()  # (table, is insert), in order
+    before: tuple[str, ...] = ()  # tables of the version that the last fold replaced
 
 
 class Store:
@@ -204,6 +209,7 @@ class Store:
         store = cls(graph.spark, path)
         base = f"base-{uuid.uuid4().hex}"
         write_table(graph.triples, f"{store.path}/{base}")
+        store._count(base)
         store._point(Version(store.version().number + 1 if store.exists() else 1, base))
         return store
 
@@ -213,12 +219,12 @@ class Store:
     def version(self) -> Version:
         raw = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0]
         d = json.loads(raw)
-        return Version(d["number"], d["base"], tuple((n, i) for n, i in d["changes"]))
+        return Version(d["number"], d["base"], tuple((n, i) for n, i in d["changes"]), tuple(d.get("before", ())))
 
     def _point(self, v: Version) -> None:
         tmp, final = self._fs_path(f"{self.path}/.CURRENT-{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/CURRENT")
         out = self._fs.create(tmp, True)
-        out.write(json.dumps({"number": v.number, "base": v.base, "changes": v.changes, "at": time.time()}).encode())
+        out.write(json.dumps({"number": v.number, "base": v.base, "changes": v.changes, "before": v.before, "at": time.time()}).encode())
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -226,19 +232,32 @@ class Store:
         options[0] = rename
         context.rename(tmp, final, options)
 
+    def _count(self, base: str) -> None:
+        """Keep the triples of each predicate of a base, for the order of joins."""
+        counts = Graph(self.spark, self.spark.read.parquet(f"{self.path}/{base}")).counted().counts
+        out = self._fs.create(self._fs_path(f"{self.path}/{base}.counts"), True)
+        out.write(json.dumps(counts).encode())
+        out.close()
+
+    def _counts(self, v: Version) -> dict[str, int]:
+        """Those of the base; a few changes make no difference, but predicates that only changes have are not in it."""
+        if v.changes or not self._fs.exists(self._fs_path(f"{self.path}/{v.base}.counts")):
+            return {}
+        return json.loads(self.spark.read.text(f"{self.path}/{v.base}.counts", wholetext=True).first()[0])
+
     def graph(self) -> Graph:
         v = self.version()
         df = self.spark.read.parquet(f"{self.path}/{v.base}")
         if not v.changes:
-            return Graph(self.spark, df)
+            return Graph(self.spark, df, self._counts(v))
         # of each changed triple only the last change counts; changes are few, the base is only filtered by them
         parts = [self.spark.read.schema(ntriples.TRIPLES).parquet(f"{self.path}/{name}").select("s", "p", "o", F.lit(i).alias("n"), F.lit(insert).alias("insert")) for i, (name, insert) in enumerate(v.changes)]
         changes = parts[0]
         for part in parts[1:]:
             changes = changes.union(part)
         last = changes.groupBy("s", "p", "o").agg(F.max_by("insert", "n").alias("insert"))
-        kept = df.select("s", "p", "o").join(last.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-        return Graph(self.spark, kept.union(last.where("insert").select("s", "p", "o")))
+        kept = df.select("s", "p", "o", "pb").join(last.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select("s", "p", "o", "pb")
+        return Graph(self.spark, kept.union(last.where("insert").select("s", "p", "o", predicate_bucket(F.col("p")).alias("pb"))), self._counts(v))
 
     def update(self, text: str) -> int:
         """Apply INSERT DATA and DELETE DATA durably; returns the new version's number."""
@@ -263,11 +282,13 @@ class Store:
         return v.number
 
     def checkpoint(self) -> int:
-        """Fold the changes into a new base; returns the number of triples."""
+        """Fold the changes into a new base; returns the number of triples. The tables of the version before stay for its readers until the next fold."""
         old = self.version()
         base = f"base-{uuid.uuid4().hex}"
         write_table(self.graph().triples, f"{self.path}/{base}")
-        self._point(Version(old.number + 1, base))
-        for name in (old.base, *(n for n, _ in old.changes)):
-            self._fs.delete(self._fs_path(f"{self.path}/{name}"), True)
+        self._count(base)
+        self._point(Version(old.number + 1, base, (), (old.base, *(n for n, _ in old.changes))))
+        for name in old.before:
+            for path in (name, f"{name}.counts"):
+                self._fs.delete(self._fs_path(f"{self.path}/{path}"), True)
         return self.spark.read.parquet(f"{self.path}/{base}").count()

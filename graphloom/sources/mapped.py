@@ -10,6 +10,7 @@ filters on them reach the Parquet reader and joins compare numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -45,6 +46,27 @@ class Table:
     def column(self, p: Property) -> Column:
         return F.expr(p.column)
 
+    def has(self, iri: str) -> bool:
+        return iri in self.properties
+
+
+class Unopened:
+    """A table that is opened when a pattern may read it: predicates tell by their prefix, classes are known."""
+
+    def __init__(self, prefix: str, types: tuple[str, ...], open_: Callable[[], Table]):
+        self.prefix, self.types, self._open = prefix, types, open_
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        self.__dict__.setdefault("_table", None)
+        if self.__dict__["_table"] is None:
+            self.__dict__["_table"] = self._open()
+        return getattr(self.__dict__["_table"], name)
+
+    def has(self, iri: str) -> bool:
+        return iri.startswith(self.prefix) and iri in self.properties
+
 
 def shape_of(kind: str) -> T.Shape | None:
     """The literal shape of a column type; None if it has no RDF form."""
@@ -56,7 +78,7 @@ def shape_of(kind: str) -> T.Shape | None:
 
 
 class Mapped(Source):
-    def __init__(self, spark: SparkSession, tables: list[Table]):
+    def __init__(self, spark: SparkSession, tables: list[Table | Unopened]):
         self.spark = spark
         self.tables = tables
 
@@ -64,7 +86,7 @@ class Mapped(Source):
     def scan(self, t: A.Triple) -> Frame:
         if isinstance(t.p, A.Const):
             iri = T.parse_key(t.p.key).value
-            found = [self._property(table, iri, t) for table in self.tables if iri in table.properties]
+            found = [self._property(table, iri, t) for table in self.tables if table.has(iri)]
             if iri == T.RDF + "type":
                 found += [self._type(table, c, t) for table in self.tables for c in table.types]
             if not found:
@@ -79,7 +101,7 @@ class Mapped(Source):
     def _property(self, table: Table, iri: str, t: A.Triple, as_predicate: str | None = None) -> Frame:
         p = table.properties[iri]
         df = table.df.select(table.column(table.subject).alias("s"), F.lit(T.iri(iri)).alias("p"), table.column(p).alias("o")).where("s is not null and o is not null")
-        return pattern_frame(df, ("s", "p", "o"), (table.subject.shape, T.KEY, p.shape), t, table.size, native_equal)
+        return pattern_frame(df, ("s", "p", "o"), (table.subject.shape, T.KEY, p.shape), t, table.size, native_equal, (table.size if table.extra.get("unique", True) else None, 1.0, None))
 
     def _type(self, table: Table, c: str, t: A.Triple, as_predicate: str | None = None) -> Frame:
         df = table.df.select(table.column(table.subject).alias("s"), F.lit(T.iri(T.RDF + "type")).alias("p"), F.lit(T.iri(c)).alias("o")).where("s is not null")
@@ -93,7 +115,7 @@ class Mapped(Source):
         if not isinstance(t.p, A.Const):
             return None
         iri = T.parse_key(t.p.key).value
-        found = [table for table in self.tables if iri in table.properties]
+        found = [table for table in self.tables if table.has(iri)]
         return found[0] if len(found) == 1 and iri != T.RDF + "type" else None
 
     def bgp(self, triples: tuple[A.Triple, ...], optional: tuple[A.Triple, ...] = ()) -> Frame | None:
@@ -156,7 +178,8 @@ class Mapped(Source):
         df = df.select(*(c.alias(names[v]) for v, c in columns.items())) if columns else df.select(F.lit(1).alias(fresh_name()))
         if not table.extra.get("unique", True):  # triples are a set
             df = df.distinct()
-        return Frame(df, {v: (names[v], shapes[v]) for v in columns}, bound, size)
+        one = {s.name: table.size} if isinstance(s, A.Var) and table.extra.get("unique", True) else {}
+        return Frame(df, {v: (names[v], shapes[v]) for v in columns}, bound, size, one)
 
     def among_nodes(self, keys: Pairs) -> Pairs:
         return super().among_nodes(keys)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .engine import Engine
 from .functions import terms as T
 from .sources.graph import Graph
-from .sources.mapped import Mapped, Property, Table, auto_table
+from .sources.mapped import Mapped, Property, Table, Unopened, auto_table
 
 BASE = "http://example.org/"
 PREFIXES = (
@@ -20,24 +20,36 @@ PREFIXES = (
 
 
 def source(spark: SparkSession, sf_dir: str) -> Mapped:
+    """The tables of a directory; each is opened when a query reads it."""
+
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def table(name: str, key: str, foreign: dict[str, str] | None = None, as_: str | None = None, **more) -> Table:
-        return auto_table(read(name), as_ or name, key, BASE, foreign, **more)
+    def table(name: str, key: str, foreign: dict[str, str] | None = None, as_: str | None = None) -> Unopened:
+        own = as_ or name
+        return Unopened(f"{BASE}{own}#", (f"{BASE}{own}",), lambda: auto_table(read(name), own, key, BASE, foreign))
+
+    def lineitem() -> Table:
+        # rows of lineitem have no key: its subject is a digest of the row, computed only if a query shows it
+        df = read("lineitem")
+        whole_row = "md5(concat_ws('\u0002', " + ", ".join(f"cast(`{c}` as string)" for c in df.columns) + "))"
+        return auto_table(df, "lineitem", "l_orderkey", BASE, {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, subject=Property(whole_row, T.Shape("iri", f"{BASE}lineitem/")))
 
-    lineitem = read("lineitem")
-    whole_row = "md5(concat_ws('\u0002', " + ", ".join(f"cast(`{c}` as string)" for c in lineitem.columns) + "))"
-    turns = read("conversations")
-    following = Property("concat(cast(conv_id as string), '/', cast(turn + 1 as string))", T.Shape("iri", f"{BASE}turn/"))
     this_turn = Property("concat(cast(conv_id as string), '/', cast(turn as string))", T.Shape("iri", f"{BASE}turn/"))
-    talk = auto_table(turns, "turn", "conv_id", BASE, subject=this_turn)
-    labels = auto_table(read("labels"), "doc", "doc_id", BASE, skip=("doc_id",))
-    labels.types = ()
-    # the edge to the next turn exists where that turn does
-    last = turns.groupBy("conv_id").agg({"turn": "max"}).withColumnRenamed("max(turn)", "last_turn").withColumnRenamed("conv_id", "c")
-    steps = turns.join(last, turns["conv_id"] == last["c"]).where("turn < last_turn").select("conv_id", "turn")
-    edges = Table(steps, this_turn, {f"{BASE}turn#next": following}, (), 1e7, {"unique": True})
+
+    def labels() -> Table:
+        out = auto_table(read("labels"), "doc", "doc_id", BASE, skip=("doc_id",))
+        out.types = ()
+        return out
+
+    def edges() -> Table:
+        # the edge to the next turn exists where that turn does
+        turns = read("conversations")
+        following = Property("concat(cast(conv_id as string), '/', cast(turn + 1 as string))", T.Shape("iri", f"{BASE}turn/"))
+        last = turns.groupBy("conv_id").agg({"turn": "max"}).withColumnRenamed("max(turn)", "last_turn").withColumnRenamed("conv_id", "c")
+        steps = turns.join(last, turns["conv_id"] == last["c"]).where("turn < last_turn").select("conv_id", "turn")
+        return Table(steps, this_turn, {f"{BASE}turn#next": following}, (), 1e7, {"unique": True})
+
     return Mapped(
         spark,
         [
@@ -47,16 +59,15 @@ def source(spark: SparkSession, sf_dir: str) -> Mapped:
             table("supplier", "s_suppkey", {"s_nationkey": "nation"}),
             table("part", "p_partkey"),
             table("orders", "o_orderkey", {"o_custkey": "customer"}),
-            # rows of lineitem have no key: its subject is a digest of the row, computed only if a query shows it
-            auto_table(lineitem, "lineitem", "l_orderkey", BASE, {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, subject=Property(whole_row, T.Shape("iri", f"{BASE}lineitem/"))),
+            Unopened(f"{BASE}lineitem#", (f"{BASE}lineitem",), lineitem),
             table("events", "event_id", as_="event"),
             table("documents", "doc_id", as_="doc"),
-            labels,
+            Unopened(f"{BASE}doc#", (), labels),
             table("pages", "page_id", as_="page"),
             table("benchmark", "item_id", as_="item"),
             table("embeddings", "vec_id", as_="vec"),
-            talk,
-            edges,
+            Unopened(f"{BASE}turn#", (f"{BASE}turn",), lambda: auto_table(read("conversations"), "turn", "conv_id", BASE, subject=this_turn)),
+            Unopened(f"{BASE}turn#next", (), edges),
         ],
     )
 
