@@ -5,8 +5,10 @@ letters folded, everything in ASCII that is no letter read as one space). Each
 language has several centroids, found by spherical k-means over its training
 vectors; the prediction is the language of the centroid with the largest cosine
 over the whole text. A text is *rejected* if it has no letter, or if it is
-farther from every centroid than `reject_share` of the distance at which the
-farthest training texts of that centroid and of similar length lie.
+farther from its nearest centroid than `reject_share` times the distance of that centroid's
+limit: its farthest training text of similar length, or the mean less `SPREAD` standard
+deviations of their cosines where that is farther. Where a centroid has fewer than `FEW` training texts
+of similar length, those of all centroids count; where these are few too, nothing of that length is rejected.
 
 The classifier is fitted on a bounded sample: about `per_language` labelled rows
 of each label, drawn by a hash of the id, so that neither the driver nor the
@@ -82,6 +84,9 @@ class Model:
 
 
 LENGTHS = 12
+#: Training texts of similar length that a limit needs at least.
+FEW = 20
+SPREAD = 5.0
 
 
 def length_class(tf: np.ndarray) -> np.ndarray:
@@ -145,14 +150,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         return Model(idf, np.zeros((1, dims), np.float32), [0], [UNKNOWN], np.full((1, LENGTHS), 2.0))
     c = np.concatenate(cents).astype(np.float32)
     cos = v @ c.T
-    best = cos.argmax(axis=1)
-    top = cos[np.arange(len(best)), best] if len(best) else np.zeros(0)
+    # a text counts for the nearest centroid of its own language
+    of_label = np.where(np.array(language)[None, :] == np.searchsorted(names, label)[:, None], cos, -1.0)
+    best = of_label.argmax(axis=1)
+    top = of_label[np.arange(len(best)), best]
     floor = np.zeros((len(c), LENGTHS))
     for j in range(LENGTHS):
-        near = top[abs(classes - j) <= 1]
-        if len(near) >= 20:  # too few texts of this length say nothing about what is far
-            farthest = 1 - near.min()
-            floor[:, j] = 1 - reject_share * farthest
+        near = (abs(classes - j) <= 1) & (top >= 0)
+        for k in range(len(c)):
+            own = top[near & (best == k)]
+            if len(own) >= FEW:
+                limit = min(own.min(), own.mean() - SPREAD * own.std())
+            elif near.sum() >= FEW:
+                limit = top[near].min()
+            else:
+                continue
+            floor[k, j] = 1 - reject_share * (1 - limit)
     return Model(idf, c, language, names, floor)
 
 
