@@ -288,3 +288,116 @@ def test_positions_around_a_fingerprint_of_very_many_rows():
         assert {(71 + d, d, 6) for d in range(40)} <= windows and (8, 2, 2) in windows and (70, 0, 5) in windows and not any(k == 9 for k, _, _ in windows)
         later = {(d, n) for _, d, n, size, _ in found if size == 3} | {(d, n) for k, d, n in windows if k == 70}
         assert later == {(d, 5) for d in range(40)} and any(f[1:4] == (2, 0, 4) for f in found)
+
+
+# -- language identification
+
+
+def plain_counts(text, dims):
+    """Hashed trigram counts of a text, one trigram at a time."""
+    import re
+
+    folded = re.sub(rb"[^a-z\x80-\xff]", b" ", text.encode().lower())
+    out = {}
+    for i in range(len(folded) - 2):
+        a, b, c = folded[i : i + 3]
+        if (a, b) != (32, 32) and (b, c) != (32, 32):
+            code = ((a | b << 8 | c << 16) * 2654435761 % (1 << 32)) >> (32 - (dims - 1).bit_length())
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def plain_prediction(model, text):
+    """(language, cosine, is rejected)."""
+    import math
+
+    tf = plain_counts(text, len(model.idf))
+    v = {k: math.log1p(n) * float(model.idf[k]) for k, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    cosines = [sum(x / norm * float(c[k]) for k, x in v.items()) for c in model.centroids]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    length = min(int(math.log2(max(1, sum(tf.values())))), model.floor.shape[1] - 1)
+    return model.names[model.language[best]], cosines[best], cosines[best] < model.floor[best, length], sorted(cosines)[-2:]
+
+
+def test_language_id_equals_a_plain_version(spark):
+    import numpy as np
+
+    from graphloom.llm import language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rnd = random.Random(7)
+    greek = [" ".join("".join(rnd.choices("αβγδεζηθικλμνξοπρστυφχψω", k=rnd.randint(2, 9))) for _ in range(n)) for n in (60, 400, 2000)]
+    far = spark.createDataFrame([(10_000 + i, t, None, None, len(t)) for i, t in enumerate([*greek, "x", "ß ab", "1 2 3", ""])], docs.schema)
+    model = language_id.fit(language_id.training_rows(docs))
+    texts = {r.doc_id: r.text for r in docs.union(far).collect()}
+    rejected, stays = 0, set()
+    for r in language_id.predict(docs.union(far), model).collect():
+        t = texts[r.doc_id]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        language, cosine, is_far, two = plain_prediction(model, t)
+        assert abs(r.score - max(0.0, cosine)) < 1e-4
+        if two[1] - two[0] > 1e-4:
+            assert r.lang_pred == language
+        assert r.rejected == is_far
+        rejected += is_far
+        stays |= set() if is_far else {r.doc_id}
+        if 10_000 <= r.doc_id < 10_003:
+            assert r.rejected
+    assert rejected >= 3
+    kept = {r.doc_id for r in language_id.recognised(spark, docs.union(far), "").collect()}
+    assert kept == stays and not kept & {10_000, 10_001, 10_002, 10_005, 10_006}
+    clean = [i for i, t in texts.items() if i < 10_000 and t and any(c.isalpha() for c in t)]
+    assert len(kept & set(clean)) >= 0.98 * len(clean)
+    # limits differ by centroid
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and len(np.unique(model.floor[:, -2])) > 1
+
+
+def test_centroids_are_means_of_their_members():
+    import numpy as np
+
+    from graphloom.llm import language_id
+
+    rng = np.random.default_rng(3)
+    v = np.abs(rng.normal(size=(3, 40)))[rng.integers(0, 3, 90)] + 0.05 * np.abs(rng.normal(size=(90, 40)))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    c = language_id.spherical_kmeans(v, 3)
+    own = [max(range(3), key=lambda k: sum(float(a) * float(b) for a, b in zip(x, c[k], strict=True))) for x in v]
+    for k in range(3):
+        mean = sum(x.astype(np.float64) for x, o in zip(v, own, strict=True) if o == k)
+        assert np.allclose(c[k], mean / np.sqrt((mean**2).sum()), atol=1e-4)
+
+
+# -- the mixture that codes token ids
+
+
+def test_mixture_of_orders_is_a_distribution():
+    import numpy as np
+
+    from graphloom.llm import range_coder
+
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.3, 900) % 3000).astype(np.int64)
+    ids[300:420] = ids[100:220]  # contexts that come again
+    model = range_coder._Model(1)
+    every = np.arange(65536)
+    for t, x in enumerate(ids):
+        model.weigh()
+        if t % 89 == 0:
+            start, size = (v.astype(np.int64) for v in model.place(every))
+            assert (size > 0).all() and start[0] == 0 and (start[1:] == np.cumsum(size)[:-1]).all() and size.sum() == 1 << int(range_coder._TOTAL)
+            zero = model.zero(every)[1] / (1 << range_coder._ZERO)
+            w, p = [float(m[0]) for m in model.mix], [float(q[0]) / 65536 for q in (model.p1, model.p2)]
+            plain = w[0] * zero + sum(wk * (pk * (every == int(g[0])) + (1 - pk) * zero) for wk, pk, g in zip(w[1:], p, (model.g1, model.g2), strict=True))
+            assert abs(sum(w) - 1) < 1e-9 and np.abs(size / (1 << int(range_coder._TOTAL)) - plain).max() < 1e-3
+            for v in [0, (1 << 32) - 1, *rng.integers(0, 1 << 32, 40).tolist()]:
+                found = int(model.find(np.array([v]))[0])
+                assert start[found] <= v < start[found] + size[found]
+        model.place(np.array([x]))
+        model.learn(np.array([x]))
+    blocks = [ids.astype(np.uint16), rng.integers(0, 65536, 700).astype(np.uint16), np.tile(ids[:50], 12).astype(np.uint16)]
+    coded = range_coder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True))
+    assert len(coded[2]) < 0.35 * 2 * len(blocks[2]) and len(coded[1]) < 2.1 * len(blocks[1])
