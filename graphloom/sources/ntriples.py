@@ -3,7 +3,9 @@
 The grammar is applied line by line; lines that do not match it are skipped, as
 are blank lines and comments. After the three terms only a dot may follow. Blank
 labels and language tags end at white space. A literal may stand anywhere.
-The parser runs on Arrow batches of lines, one task a file split.
+
+Lines without escapes and with plain white space are taken apart by JVM expressions. The
+others, few as a rule, are picked out by a scan of their own and go to a parser in Python, batch by batch.
 """
 
 from __future__ import annotations
@@ -100,6 +102,26 @@ def parse_lines(text: str) -> list[tuple[str, str, str]]:
     return [t for t in map(parse_line, text.split("\n")) if t]
 
 
+#: Lines that the JVM expressions leave to the parser: escapes, and white space that Java and Python see differently.
+_ODD = r"[\\\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A term; what it takes is never given back, as in the parser.
+_TERM = r'(<[^>]*+>|_:\S++|"[^"]*+"(?>@\S++|\^\^<[^>]*+>)?+)'
+_LINE = rf"^\s*+{_TERM}\s*+{_TERM}\s*+{_TERM}\s*+\.\s*+$"
+
+
+def _key(term: Column) -> Column:
+    """The key of a term without escapes."""
+    size = F.length(term)
+    text = F.regexp_extract(term, '^"([^"]*)"', 1)
+    rest = F.substring(term, F.length(text) + 3, size)  # nothing, @language or ^^<datatype>
+    kind = F.substring(rest, F.lit(4), F.length(rest) - 4)
+    plain = F.concat(F.lit("L" + T.SEP), text)
+    typed = F.when(kind.isin("", T.XSD + "string"), plain).otherwise(F.concat(F.lit("D"), kind, F.lit(T.SEP), text))
+    literal = F.when(rest == "", plain).when(F.startswith(rest, F.lit("@")), F.concat(F.lit("G"), F.substring(rest, F.lit(2), size), F.lit(T.SEP), text)).otherwise(typed)
+    first = F.substring(term, 1, 1)
+    return F.when(first == "<", F.concat(F.lit("I" + T.SEP), F.substring(term, F.lit(2), size - 2))).when(first == "_", F.concat(F.lit("B" + T.SEP), F.substring(term, F.lit(3), size))).otherwise(literal)
+
+
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [t for t in map(parse_line, b["value"]) if t]
@@ -108,7 +130,10 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """Triples (s, p, o as keys) of lines (value); not yet distinct."""
-    return lines.select("value").mapInPandas(_exact, TRIPLES)
+    rows = lines.select("value").where("value is not null")
+    odd = F.col("value").rlike(_ODD)
+    terms = rows.where(~odd & F.col("value").rlike(_LINE)).select(*(F.regexp_extract("value", _LINE, i + 1).alias(n) for i, n in enumerate("spo")))
+    return terms.select(*(_key(F.col(n)).alias(n) for n in "spo")).union(rows.where(odd).mapInPandas(_exact, TRIPLES))
 
 
 def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -82,3 +82,23 @@ def test_turtle_files(spark, tmp_path):
 
     assert [tuple(r) for r in Graph.load(spark, str(tmp_path / "x.TTL")).triples.collect()] == [(A, P, B)]
     assert read_turtle(spark, str(tmp_path)).count() == 1
+
+
+def test_lines_are_read_as_the_parser_reads_them(spark):
+    """The scan, whichever way a line takes, gives the triples of the line parser."""
+    import random
+
+    from graphloom.sources.ntriples import read_lines
+
+    rnd = random.Random(11)
+    tokens = ["<http://e/a>", "<>", "<a b>", "<http://e/\\u00e9>", "_:b", "_:", "_:b.", '"x y"', '""', '"x"@en', '"x"@', '"é"@de-AT.', '"1"^^<http://www.w3.org/2001/XMLSchema#integer>', '"s"^^<http://www.w3.org/2001/XMLSchema#string>',
+              '"t"^^<>', '"u"^^', '"q\\"r"', '"n\\n"', '"bad\\x"', "<open", '"open', "word", "#", "."]
+    gaps = ["", " ", "  ", "\t", " \u00a0", "\x0b", " \u3000 "]
+    lines = ["", "# comment", " <a> <b> <c> . ", "<a><b><c>.", "<a> <b> <c> . # no", "<a> <b> <c>", "_:a<b> <c> <d> ."]
+    for _ in range(4000):
+        n = rnd.choice([2, 3, 3, 3, 3, 4])
+        body = "".join(rnd.choice(gaps[:4] if rnd.random() < 0.8 else gaps) + (rnd.choice(tokens[:15]) if rnd.random() < 0.9 else rnd.choice(tokens)) for _ in range(n))
+        lines.append(body + rnd.choice([" .", ".", " . ", "", " ..", "\t.\t"]))
+    want = sorted(t for t in map(parse_line, lines) if t)
+    got = sorted(map(tuple, read_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()))
+    assert got == want and len(want) > 500
