@@ -3,8 +3,9 @@
 Each round is two aggregations and two joins over the remaining edges; the
 edges of a round are written to the shared folder. Labels are the smallest
 node. No adjacency list is ever collected: a node's neighbours only meet in
-`min`, which Spark pre-aggregates, and the joins back are ones that adaptive
-execution can split when a node is hot.
+`min`, which Spark pre-aggregates. Nodes with a large share of all edges (`HUB_SHARE`, so
+there are at most twice as many as its inverse) are known by their keys in each round, and their edges are dealt to
+`SALTS` places in the joins back.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from .store import dropped, written
 from .textkit import lean
 
 EDGE = "a long, b long"
+#: A node is a hub if it has this share of the edges, and HUB_EDGES at least.
+HUB_SHARE, HUB_EDGES = 1 / 1000, 1000
+SALTS = 64
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +69,16 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _joined(rows: DataFrame, few: DataFrame, key: str, by: str, hubs: list[int]) -> DataFrame:
+    """rows joined with few, which has one row a key; the rows of hubs are dealt by `by`."""
+    if not hubs:
+        return rows.join(few, key)
+    hot = F.col(key).isin(hubs)
+    dealt = rows.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    spread = few.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, shrink: bool = True) -> DataFrame:
     """(node, component) for every node of the undirected edges (a long, b long).
 
@@ -79,11 +93,13 @@ def components(edges: DataFrame, shrink: bool = True) -> DataFrame:
     now, state = written(edges, "edges"), None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least_edges = max(HUB_EDGES, int(now.count() * HUB_SHARE))
+        hubs = [r["a"] for r in both.groupBy("a").count().where(F.col("count") >= least_edges).collect()]
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        star = _joined(both.where("b > a"), low, "a", "b", hubs).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # each node's smaller neighbours all move to its smallest
         least = star.groupBy("b").agg(F.min("a").alias("m"))
-        down = star.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        down = _joined(star, least, "b", "a", hubs).select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         nxt = written(down.where("a <> b").distinct(), "edges")
         got = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         dropped(now)

@@ -401,3 +401,19 @@ def test_mixture_of_orders_is_a_distribution():
     coded = range_coder.encode(blocks)
     assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True))
     assert len(coded[2]) < 0.35 * 2 * len(blocks[2]) and len(coded[1]) < 2.25 * len(blocks[1])
+
+
+def test_components_around_hubs(spark, monkeypatch):
+    from graphloom.llm import components as C
+
+    monkeypatch.setattr(C, "HUB_EDGES", 20)
+    seen = []
+    real = C._joined
+    monkeypatch.setattr(C, "_joined", lambda *x: (seen.append(x[4]), real(*x))[1])
+    # stars around the smallest, the largest and a middle node, chained, and a star of its own
+    edges = [(0, i) for i in range(1, 200)] + [(5000, i) for i in range(300, 500)] + [(700, i) for i in [*range(600, 700), *range(701, 800)]]
+    edges += [(199, 300), (499, 600), (9000, 9001), *((8000, 8000 + i) for i in range(1, 60))]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long"), shrink=False).collect()}
+    assert got == {x: 0 if x < 6000 else 8000 if x < 8900 else 9000 for e in edges for x in e}
+    assert set(seen[0]) == {0, 5000, 700, 8000}
