@@ -12,7 +12,8 @@ with equal sets fall into one class and only classes are compared.
    keys, so no link is lost. The members of a key are compared by odd sketches
    (bit h mod m flips for each shingle: two sketches differ in no more bits than
    the sets in shingles, so this too loses no link) and a forest of those that may
-   link is kept, never pairs; keys with more than `LARGE_KEY` members keep a star.
+   link is kept, never pairs; a key with more than `COMPARED_KEY` members is compared
+   in pairs of blocks, one with more than `LARGE_KEY` keeps a star.
    Classes that are connected by these edges form a *neighbourhood*.
 2. *Search.* Neighbourhoods go to tasks with their whole sets, large ones as
    pairs of blocks. A task builds inverted lists (shingle -> sets). For each set,
@@ -128,8 +129,18 @@ def _profile(k: int, percent: int, want_keys: bool):
     return run
 
 
+#: Members of a key that are compared in one task; more are dealt to blocks of half as many, and each pair of blocks is compared.
+COMPARED_KEY = 50_000
 #: Members of a key beyond which they are connected without being compared.
-LARGE_KEY = 512
+LARGE_KEY = 200_000
+
+
+def block_pairs(size: int) -> list[tuple[int, int, int]]:
+    """(blocks, i, j): the pairs of blocks in which all pairs of so many members meet."""
+    if size <= COMPARED_KEY:
+        return [(1, 0, 0)]
+    blocks = -(-size // (COMPARED_KEY // 2))
+    return [(blocks, i, j) for j in range(blocks) for i in range(j)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +150,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     seen: set[int] = set()
     head = None  # (key, digest) of a key that a cut left open
-    for table, cut in sorted_groups(batches, 100_000):
+    for table, cut in sorted_groups(batches, max(100_000, LARGE_KEY)):
         key, digest = (table.column(i).to_numpy() for i in range(2))
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
         key, digest = key[new], digest[new]
@@ -165,15 +176,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(int(name[i]))
         if len(seen) > 1_000_000:
             seen.clear()
-        rows = np.repeat(keep, size)
+        several = keep & ~star & (size > COMPARED_KEY)
+        rows = np.repeat(keep & ~several, size)
         group = np.repeat(np.where(star, lead, name), size)[rows]
         yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(digest[rows]), pa.array(np.repeat(star, size)[rows])], ["group", "member", "star"])
+        for g in np.flatnonzero(several):
+            own = digest[first[g] : first[g] + size[g]]
+            for blocks, i, j in block_pairs(len(own)):
+                both = np.concatenate((own[i::blocks], own[j::blocks]))
+                pair = tk.signed(tk.mix(name[g : g + 1].view(np.uint64) + tk.odd(14, i * blocks + j + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pair, len(both))), pa.array(both), pa.array(np.zeros(len(both), dtype=bool))], ["group", "member", "star"])
+
+
+def may_link(bits: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the rows whose sketches do not rule out a link: each row looks only for those that no other has found yet."""
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    rest, bits_left, n_left = np.arange(len(n)), bits, n
+    todo: list[int] = []
+    while len(rest):
+        if not todo:
+            todo.append(int(rest[-1]))
+            rest, bits_left, n_left = rest[:-1], bits_left[:-1], n_left[:-1]
+            continue
+        r = todo.pop()
+        apart = np.bitwise_count(bits_left ^ bits[r]).sum(axis=1, dtype=np.int64)
+        near = apart <= (n[r] + n_left) * (100 - percent) // (100 + percent)
+        if near.any():
+            new = rest[near]
+            left.append(np.full(len(new), r))
+            right.append(new)
+            todo += new.tolist()
+            rest, bits_left, n_left = rest[~near], bits_left[~near], n_left[~near]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (group, member, n, sketch) sorted by group to a forest of the members that may link."""
-        for table, _ in sorted_groups(batches, 20_000):
+        for table, _ in sorted_groups(batches, max(20_000, COMPARED_KEY // 2)):
             group, member, n = (table.column(i).to_numpy() for i in range(3))
             sketches = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
             width = np.array([len(x) for x in sketches])
@@ -185,11 +227,9 @@ def _alike(percent: int):
                     continue
                 w = int(width[a:b].min())
                 bits = np.stack([x if len(x) == w else np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in sketches[a:b]])
-                for r in range(b - a - 1):
-                    apart = np.bitwise_count(bits[r + 1 :] ^ bits[r]).sum(axis=1, dtype=np.int64)
-                    near = np.flatnonzero(apart <= (n[a + r] + n[a + r + 1 : b]) * (100 - percent) // (100 + percent))
-                    if len(near):
-                        found.append(np.stack((np.full(len(near), member[a + r]), member[a + r + 1 + near])))
+                x, y = may_link(bits, n[a:b], percent)
+                if len(x):
+                    found.append(np.stack((member[a + x], member[a + y])))
             if found:
                 x, y = forest(*np.concatenate(found, axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])

@@ -417,3 +417,36 @@ def test_components_around_hubs(spark, monkeypatch):
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long"), shrink=False).collect()}
     assert got == {x: 0 if x < 6000 else 8000 if x < 8900 else 9000 for e in edges for x in e}
     assert set(seen[0]) == {0, 5000, 700, 8000}
+
+
+def test_members_of_a_common_key_are_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import jaccard_join as J
+    from graphloom.llm.components import forest
+
+    digests = pa.array(np.arange(2000) * 7, pa.int64())
+    keyed = pa.RecordBatch.from_arrays([pa.array(np.full(2000, 5)), digests], ["key", "digest"])
+    groups = pa.Table.from_batches(list(J._groups(iter([keyed]))))
+    assert groups.num_rows == 2000 and not any(groups["star"].to_pylist()) and len(set(groups["group"].to_pylist())) == 1
+    # dealt to blocks, all pairs still meet
+    monkeypatch.setattr(J, "COMPARED_KEY", 500)
+    groups = pa.Table.from_batches(list(J._groups(iter([keyed])))).to_pydict()
+    assert not any(groups["star"]) and max(groups["group"].count(g) for g in set(groups["group"])) <= 500
+    met = np.zeros((2000, 2000), dtype=bool)
+    for g in set(groups["group"]):
+        own = np.array([m // 7 for m, h in zip(groups["member"], groups["group"], strict=True) if h == g])
+        met[np.ix_(own, own)] = True
+    assert met.all()
+    # sets that have little in common but one shingle stay apart, near copies meet
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(700):
+        own = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        sets += [np.unique(np.concatenate((own[drop:], [np.uint64(9)]))) for drop in range(int(rng.integers(1, 4)))]
+    n = np.array([len(x) for x in sets])
+    bits = np.stack([np.frombuffer(J.odd_sketch(x), np.uint64) for x in sets])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if np.bitwise_count(bits[i] ^ bits[j]).sum() <= (n[i] + n[j]) * 20 // 180]
+    got, want = (sorted(zip(*(x.tolist() for x in forest(np.array(a), np.array(b))), strict=True)) for a, b in (J.may_link(bits, n, 80), zip(*pairs, strict=True)))
+    assert got == want and len(set(a for a, _ in got)) > 300
