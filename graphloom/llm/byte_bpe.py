@@ -5,7 +5,9 @@ inside a run of white space, so a text without such spaces can be cut at its
 spaces and the library's ids of the parts put together. Cutting, finding the
 distinct parts and putting ids together are Arrow and numpy calls over a whole
 batch; the library sees only parts that a worker's bounded cache does not hold.
-Other texts are cut elsewhere, one by one.
+Where a piece surely ends (between ASCII letters, digits and other marks, and around a line feed alone) parts are cut
+again, so that fewer are distinct, and what is asked of the library is joined to strings of many parts, whose ids show
+where each begins. Other texts are cut elsewhere, one by one.
 
 Where only the number of ids is wanted, the merges of distinct parts of printable ASCII
 are carried out with the vocabulary's merge table in numpy, all parts of one length
@@ -18,6 +20,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,16 @@ from .textkit import MODELS, utf8
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct words in each of the two generations that a worker remembers.
 CACHE_WORDS = 250_000
+#: Words that are joined to one string for the library.
+JOINED = 250
 #: Texts that are cut in one call.
 ROWS = 3000
 #: A space that neither begins nor ends its run of white space, or two spaces (RE2 syntax).
 _INNER_SPACE = "  |[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] [\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
+#: White space at an end of a word, or nothing at all (RE2 syntax).
+_EDGE_SPACE = "^$|^[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]$"
+
 
 class _Words:
     """Ids of words that have the same text before them, in two generations."""
@@ -63,6 +71,134 @@ class _Words:
         return found
 
 
+def _gathered(code: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ids of codes, one behind the other."""
+    n = length[code]
+    start = np.cumsum(length) - length
+    return ids[np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class _Joined:
+    """Ids of many words, joined to few strings for the library: by spaces, if a space is before each, else by line feeds.
+
+    A space begins a piece, and nothing else makes ids that begin with a space; a line feed between other marks is a
+    piece and an id of its own. So these ids show where words begin. Words that hold a line feed, or begin or end
+    with white space, which would run into the next, are left to `one_by_one`.
+    """
+
+    def __init__(self, tokenizer, one_by_one: _Words, fits: bool):
+        self.tokenizer, self.one_by_one, self.fits, self.spaced = tokenizer, one_by_one, fits, one_by_one.before == " "
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        for piece, i in tokenizer.get_vocab().items():
+            self.begins[i] = piece.startswith("\u0120") if self.spaced else piece == "\u010a"
+        self.lead = len(tokenizer.encode("x", add_special_tokens=False).ids)  # a string begins with it
+        self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint16))
+
+    def _keep(self, words: pa.Array, length: np.ndarray, ids: np.ndarray) -> None:
+        """Words seen more than once in a batch, with their ids."""
+        self.words, self.length, self.kept = words, length, ids
+
+    def _singly(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.one_by_one.ids(words.to_pylist())
+        return np.array([len(x) // 2 for x in raw], dtype=np.int64), np.frombuffer(b"".join(raw), "<u2")
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, all ids) of words that do not run into each other."""
+        ends = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
+        mark = " " if self.spaced else "\n"
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), mark).to_pylist()
+        found = self.tokenizer.encode_batch_fast(["x" + mark + x for x in lines], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids[self.lead :], dtype=np.uint16) for e in found])
+        first = np.flatnonzero(self.begins[flat])
+        if len(first) != len(words) or first[0]:
+            return self._singly(words)  # another kind of vocabulary
+        length = np.diff(first, append=len(flat))
+        return (length, flat) if self.spaced else (length - 1, np.delete(flat, first))
+
+    def _asked(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, all ids) from the library."""
+        data, offsets, _ = utf8(words)
+        some = np.diff(offsets) > 0
+        edge = np.zeros((len(words), 2), dtype=np.uint8)
+        edge[some, 0], edge[some, 1] = data[offsets[:-1][some]], data[offsets[1:][some] - 1]
+        plain = ((edge > 32) & (edge < 127)).all(axis=1) & self.fits
+        odd = np.flatnonzero(~plain & self.fits)  # other letters and other white space
+        if len(odd):
+            plain[odd] = ~pc.match_substring_regex(words.take(pa.array(odd)), _EDGE_SPACE).to_numpy(zero_copy_only=False)
+        if not self.spaced:
+            lines = np.concatenate(([0], np.cumsum(data == 10)))
+            plain &= lines[offsets[1:]] == lines[offsets[:-1]]
+        if plain.all():
+            return self._together(words) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
+        length = np.zeros(len(words), dtype=np.int64)
+        length[~plain], other = self._singly(words.filter(pa.array(~plain)))
+        ids = np.zeros(0, np.uint16)
+        if plain.any():
+            length[plain], ids = self._together(words.filter(pa.array(plain)))
+        out = np.empty(int(length.sum()), dtype=np.uint16)
+        mine = np.repeat(plain, length)
+        out[mine], out[~mine] = ids, other
+        return length, out
+
+    def table(self, words: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code of each word, ids of each code, all their ids); times: how often each stands in the texts."""
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        known = pc.index_in(coded.dictionary, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(known < 0)
+        kept = len(self.words)
+        known[new] = kept + np.arange(len(new))
+        fresh = coded.dictionary.take(pa.array(new))
+        length, ids = self._asked(fresh)
+        all_length, all_ids = np.concatenate((self.length, length)), np.concatenate((self.kept, ids))
+        often = np.bincount(code, weights=times, minlength=len(known))[new] > 1
+        if often.any():
+            words, length, ids = fresh.filter(pa.array(often)), length[often], ids[np.repeat(often, length)]
+            if kept + len(words) > CACHE_WORDS:
+                self._keep(words, length, ids)
+            else:
+                self._keep(pa.concat_arrays([self.words, words]), np.concatenate((self.length, length)), np.concatenate((self.kept, ids)))
+        return known[code], all_length, all_ids
+
+
+#: Letters, digits, other printable ASCII (the apostrophe may belong to letters behind it), line feeds; nothing is cut beside the rest.
+_KIND = np.full(256, 9, dtype=np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+_KIND[48:58] = 1
+_KIND[39] = 9
+_KIND[10] = 3
+
+
+def _cut(words: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(parts of words, which of them begin a word): cut where a piece surely ends; words of `whole` are not."""
+    data, offsets, _ = utf8(words)
+    kind = _KIND[data]
+    if whole.any():
+        kind[np.repeat(whole, np.diff(offsets))] = 9
+    empty = offsets[1:] == offsets[:-1]
+    begin = np.zeros(len(data) + 1, dtype=bool)
+    begin[offsets[:-1][~empty]] = True
+    begin[-1] = True
+    lines = np.flatnonzero(kind == 3)  # one alone is a piece of its own, several are not
+    inside = lines[~begin[lines] & ~begin[lines + 1]]
+    alone = inside[(kind[inside - 1] < 3) & (kind[inside + 1] < 3)]
+    kind[lines] = 9
+    kind[alone] = 3
+    begin[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] < 9) & (kind[:-1] < 9)
+    at = np.concatenate(([0], np.cumsum(begin[:-1])))
+    n = np.where(empty, 1, at[offsets[1:]] - at[offsets[:-1]])
+    first = np.cumsum(n) - n
+    cuts = np.full(int(n.sum()) + 1, len(data), dtype=np.int32)
+    full = np.ones(len(cuts) - 1, dtype=bool)
+    full[first[empty]] = False
+    cuts[:-1][full] = np.flatnonzero(begin[:-1])
+    cuts[first[empty]] = offsets[:-1][empty]
+    leads = np.zeros(len(cuts) - 1, dtype=bool)
+    leads[first] = True
+    return pa.Array.from_buffers(pa.string(), len(leads), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]), leads
+
+
 class _Merges:
     """Counts of ids of many ASCII parts at once, by the merge table."""
 
@@ -178,12 +314,34 @@ class ByteBpe:
         self.merges = _Merges(path)
         self.first = _Words(self.tokenizer, "")  # as a text starts
         self.later = _Words(self.tokenizer, " ")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    @cached_property
+    def spaced(self) -> _Joined:
+        return _Joined(self.tokenizer, self.later, self.merges.fits)
+
+    @cached_property
+    def inner(self) -> _Joined:
+        return _Joined(self.tokenizer, self.first, self.merges.fits)
 
-    def _table(self, words: pa.Array, cache: _Words) -> tuple[np.ndarray, np.ndarray, bytes]:
+    def _table(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code of each word, ids of each distinct word, all their ids)."""
         coded = words.dictionary_encode()
-        raw = cache.ids(coded.dictionary.to_pylist())
-        return coded.indices.to_numpy(zero_copy_only=False), np.array([len(x) // 2 for x in raw], dtype=np.int64), b"".join(raw)
+        code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.string())
+        whole = np.full(len(distinct), not self.merges.fits)
+        for x in self.special:
+            whole |= pc.match_substring(distinct, x).to_numpy(zero_copy_only=False)
+        parts, leads = _cut(distinct, whole)
+        times = np.bincount(code, minlength=len(distinct))[np.cumsum(leads) - 1]
+        after_space = leads & spaced
+        a, a_len, a_ids = self.spaced.table(parts.filter(pa.array(after_space)), times[after_space])
+        b, b_len, b_ids = self.inner.table(parts.filter(pa.array(~after_space)), times[~after_space])
+        of_part = np.empty(len(leads), dtype=np.int64)
+        of_part[after_space], of_part[~after_space] = a, b + len(a_len)
+        length = np.concatenate((a_len, b_len))
+        first = np.flatnonzero(leads)
+        n = np.add.reduceat(length[of_part], first) if len(first) else np.zeros(0, np.int64)
+        return code, n, _gathered(of_part, length, np.concatenate((a_ids, b_ids)))
 
     def _parts(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Texts without inner spaces: (code of each part, parts of each text, ids of each code, all ids)."""
@@ -193,29 +351,26 @@ class ByteBpe:
         begin = ends - count
         is_first = np.zeros(len(values), dtype=bool)
         is_first[begin[count > 0]] = True
-        a, a_len, a_ids = self._table(values.filter(pa.array(is_first)), self.first)
-        b, b_len, b_ids = self._table(values.filter(pa.array(~is_first)), self.later)
+        a, a_len, a_ids = self._table(values.filter(pa.array(is_first)), False)
+        b, b_len, b_ids = self._table(values.filter(pa.array(~is_first)), True)
         code = np.empty(len(values), dtype=np.int64)
         code[is_first], code[~is_first] = a, b + len(a_len)
-        return code, count, np.concatenate((a_len, b_len)), np.frombuffer(a_ids + b_ids, "<u2")
+        return code, count, np.concatenate((a_len, b_len)), np.concatenate((a_ids, b_ids))
 
     def _odd(self, text: str) -> bytes:
         parts = _CUT.split(text)
         return self.first.ids(parts[:1])[0] + b"".join(self.later.ids([p[1:] for p in parts[1:]]))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as unsigned 16-bit integers, where each text's end); null is empty."""
         flat, sizes = [], []
-        for s in range(0, len(texts), ROWS):
-            part = texts.slice(s, ROWS).fill_null("")
+        for s in range(0, len(texts), rows):
+            part = texts.slice(s, rows).fill_null("")
             odd = pc.match_substring_regex(part, _INNER_SPACE).to_numpy(zero_copy_only=False)
             strange = {int(i): np.frombuffer(self._odd(part[int(i)].as_py()), "<u2") for i in np.flatnonzero(odd)}
             code, count, length, ids = self._parts(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
-            n = length[code]
-            start = np.cumsum(length) - length
-            index = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            own = ids[index]
-            total = np.concatenate(([0], np.cumsum(n)))
+            own = _gathered(code, length, ids)
+            total = np.concatenate(([0], np.cumsum(length[code])))
             ends = total[np.cumsum(count)]
             if strange:
                 pieces = np.split(own, ends[:-1])

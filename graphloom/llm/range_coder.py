@@ -9,6 +9,8 @@ that came, so that they move to the models that predict the block best. The id i
 its place in the cumulative mixture, in a single step. Encoder and
 decoder run the same numpy steps over all blocks of a call, one id of each
 block a step; all arithmetic on probabilities is elementwise, so that both get the same bits.
+
+Token files are coded by the same steps in the JVM (`RangeCoder.java`, to the same bytes); a change here is one there.
 """
 
 from __future__ import annotations

@@ -26,23 +26,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import range_coder
-from .byte_bpe import ROWS, byte_bpe
+from . import jvm_coder
+from .byte_bpe import byte_bpe
 from .store import new_path, written
 from .textkit import lean
 
 BLOCK_IDS = 4096
-#: Ids that a task holds before it codes them.
-HELD_IDS = 6_000_000
+#: Texts that are tokenised in one call, and ids that a task holds before it passes them on.
+ROWS = 5000
+HELD_IDS = 2_000_000
+#: Blocks that are cut into documents in one call.
+BLOCKS = 500
 NULL_ID = -(1 << 63)
 FORMAT = "shard long, seq long, offset long, n_ids long, crc long, index binary, payload binary"
+PLAIN = FORMAT.replace("payload", "ids")
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _coded(tokenizer: str, end_id: int, block_ids: int):
+def _blocks(tokenizer: str, end_id: int, block_ids: int):
+    """Texts to blocks, before they are coded: ids as little-endian unsigned 16-bit integers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         seq = offset = 0
@@ -55,12 +61,12 @@ def _coded(tokenizer: str, end_id: int, block_ids: int):
             sizes = np.array([len(b) for b in blocks])
             rows = [
                 [shard] * len(blocks), list(range(seq, seq + len(blocks))), (offset + np.cumsum(sizes) - sizes).tolist(), sizes.tolist(),
-                [_crc(b) for b in blocks], [zlib.compress(np.array(x, dtype="<i8").tobytes()) for x in index], range_coder.encode(blocks),
+                [_crc(b) for b in blocks], [zlib.compress(np.array(x, dtype="<i8").tobytes()) for x in index], [b.astype("<u2").tobytes() for b in blocks],
             ]
             seq, offset = seq + len(blocks), offset + int(sizes.sum())
             blocks, index, room, held = [], [], 0, 0
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["shard", "seq", "offset", "n_ids", "crc", "index", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["shard", "seq", "offset", "n_ids", "crc", "index", "ids"])
 
         pending: list[np.ndarray] = []
         entries: list[tuple[int, int, int, int]] = []
@@ -76,7 +82,7 @@ def _coded(tokenizer: str, end_id: int, block_ids: int):
             for s in range(0, batch.num_rows, ROWS):
                 part = batch.slice(s, ROWS)
                 names = [NULL_ID if v is None else v for v in part.column(0).to_pylist()]
-                flat, ends = byte_bpe(tokenizer).encode(part.column(1))
+                flat, ends = byte_bpe(tokenizer).encode(part.column(1), ROWS)
                 flat = np.insert(flat, ends, end_id)  # after each document
                 ends = (ends + np.arange(1, len(ends) + 1)).tolist()
                 for name, a, b in zip(names, [0, *ends], ends, strict=False):
@@ -109,24 +115,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Write the ids of all documents, in ascending order of id, each followed by end_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(lean(_coded(tokenizer, end_id, block_ids), models=True), FORMAT).write.parquet(path)
+    blocks = ordered.mapInArrow(lean(_blocks(tokenizer, end_id, block_ids), models=True), PLAIN)
+    blocks.withColumn("payload", jvm_coder.encoded(docs.sparkSession, "ids")).drop("ids").write.parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks to documents and parts of documents: (shard, at, id, part, parts, ids)."""
+    """Blocks, decoded, to documents and parts of documents: (shard, at, id, part, parts, ids)."""
     for whole in batches:
-        for s in range(0, whole.num_rows, range_coder.LANES):
-            batch = whole.slice(s, range_coder.LANES)
-            shard, seq, offset, sizes, crc = (batch.column(i).to_pylist() for i in range(5))
+        for s in range(0, whole.num_rows, BLOCKS):
+            batch = whole.slice(s, BLOCKS)
+            shard, seq, offset, _, crc, index_, ids = (batch.column(i).to_pylist() for i in range(7))
             out: list[list] = [[] for _ in range(6)]
-            for r, ids in enumerate(range_coder.decode(batch.column(6).to_pylist(), sizes)):
-                wide = ids.astype("<u4")
-                if zlib.crc32(wide.tobytes()) != crc[r]:
+            for r, block in enumerate(ids):
+                wide = np.frombuffer(block or b"", "<u2").astype("<u4").tobytes()
+                if zlib.crc32(wide) != crc[r]:
                     raise ValueError(f"shard {shard[r]}, block {seq[r]}: checksum does not match")
-                index = np.frombuffer(zlib.decompress(batch.column(5)[r].as_py()), "<i8").reshape(-1, 4)
+                index = np.frombuffer(zlib.decompress(index_[r]), "<i8").reshape(-1, 4)
                 ends = np.cumsum(index[:, 3])
                 for (name, part, parts, n), end in zip(index.tolist(), ends.tolist(), strict=True):
-                    for x, v in zip(out, (shard[r], offset[r] + end - n, None if name == NULL_ID else name, part, parts, wide[end - n : end].tobytes()), strict=True):
+                    for x, v in zip(out, (shard[r], offset[r] + end - n, None if name == NULL_ID else name, part, parts, wide[4 * (end - n) : 4 * end]), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], ["shard", "at", "id", "part", "parts", "ids"])
 
@@ -174,6 +181,12 @@ def _crc_of_parts(parts) -> int:
     return total
 
 
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(the blocks of the files, the same with their ids for the payload)."""
+    blocks = spark.read.schema(FORMAT).parquet(path)
+    return blocks, blocks.withColumn("ids", jvm_coder.decoded(spark, "payload", "n_ids")).drop("payload")
+
+
 def shard_starts(blocks: DataFrame) -> DataFrame:
     """(shard, before): ids of all shards before each; one row a file."""
     spark = blocks.sparkSession
@@ -187,15 +200,15 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, part, parts, start, ids): the documents, long ones in parts (part: ids of the document before it); ids little-endian unsigned 32-bit."""
-    blocks = spark.read.schema(FORMAT).parquet(path)
-    rows = blocks.mapInArrow(lean(_decoded), "shard long, at long, id long, part long, parts long, ids binary")
+    blocks, plain = _stored(spark, path)
+    rows = plain.mapInArrow(lean(_decoded), "shard long, at long, id long, part long, parts long, ids binary")
     return rows.join(F.broadcast(shard_starts(blocks)), "shard").select("id", "part", "parts", (F.col("before") + F.col("at")).alias("start"), "ids")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, read back from the files."""
-    blocks = spark.read.schema(FORMAT).parquet(path)
-    rows = written(blocks.mapInArrow(lean(_checked), "shard long, at long, id long, part long, parts long, n long, crc long"), "token-digests")  # decoded once
+    blocks, plain = _stored(spark, path)
+    rows = written(plain.mapInArrow(lean(_checked), "shard long, at long, id long, part long, parts long, n long, crc long"), "token-digests")  # decoded once
     rows = rows.join(F.broadcast(shard_starts(blocks)), "shard").withColumn("start", F.col("before") + F.col("at"))
     whole = rows.where("parts = 1").select("id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     parts = rows.where("parts > 1").withColumn("start", F.col("start") - F.col("part"))

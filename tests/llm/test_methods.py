@@ -403,6 +403,70 @@ def test_mixture_of_orders_is_a_distribution():
     assert len(coded[2]) < 0.35 * 2 * len(blocks[2]) and len(coded[1]) < 2.25 * len(blocks[1])
 
 
+def test_jvm_codes_the_same_bytes(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import jvm_coder, range_coder, token_files
+
+    rng = np.random.default_rng(5)
+    blocks = [np.zeros(0, np.uint16), np.array([7], np.uint16), np.full(3000, 65535, np.uint16), rng.integers(0, 65536, 2000).astype(np.uint16), np.tile(rng.integers(0, 50000, 40).astype(np.uint16), 60)]
+    blocks += [(rng.zipf(1.1 + rng.random(), int(rng.integers(1, 9000))) % rng.integers(2, 65536)).astype(np.uint16) for _ in range(30)]
+    rows = spark.createDataFrame([(i, bytearray(b.astype("<u2").tobytes()), len(b)) for i, b in enumerate(blocks)], "i int, ids binary, n long").repartition(3)
+    got = rows.withColumn("coded", jvm_coder.encoded(spark, "ids")).withColumn("back", jvm_coder.decoded(spark, "coded", "n")).orderBy("i").collect()
+    assert [bytes(r.coded) for r in got] == range_coder.encode(blocks)
+    assert all(r.back == r.ids for r in got)
+    other = spark.newSession()
+    assert other.range(1).select(F.lit(b"\x07\x00").alias("ids")).select(jvm_coder.encoded(other, "ids")).first()[0] == range_coder.encode([blocks[1]])[0]
+    # the files of write_tokens are such bytes, and blocks that lack some are told by their checksum
+    token_files.write_tokens(spark.createDataFrame([(i, "some words " * i) for i in range(300)], "doc_id long, text string"), str(tmp_path / "whole"), P.path("byte_bpe_50k.json"))
+    stored = spark.read.parquet(str(tmp_path / "whole")).collect()
+    for r, ids in zip(stored, range_coder.decode([bytes(r.payload) for r in stored], [r.n_ids for r in stored]), strict=True):
+        assert token_files._crc(ids) == r.crc
+    for k, damage in enumerate(("substring(payload, 1, 9)", "binary('')", "null", "payload || payload", "reverse(hex(payload))")):
+        bad = spark.read.parquet(str(tmp_path / "whole")).withColumn("payload", F.expr(f"cast({damage} as binary)"))
+        bad.withColumn("n_ids", F.col("n_ids") + int(k == 3)).write.parquet(str(tmp_path / f"bad{k}"))
+        with pytest.raises(Exception, match="checksum does not match"):
+            token_files.read_tokens(spark, str(tmp_path / f"bad{k}")).count()
+
+
+def test_byte_bpe_asks_for_few_strings(monkeypatch):
+    import pyarrow as pa
+
+    from graphloom.llm import byte_bpe
+
+    class Asked:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.strings = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.strings += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    def coder():
+        out = byte_bpe.ByteBpe(P.path("byte_bpe_50k.json"))
+        out.tokenizer = out.first.tokenizer = out.later.tokenizer = Asked(out.tokenizer)
+        return out
+
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice(["th", "er", "on", "an", "\u00fc"]) for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", ".\nSo", "!!"]) for _ in range(r.randint(1, 200))) for _ in range(300)]
+    own = coder()
+    flat, ends = own.encode(pa.array(texts))
+    library = own.tokenizer.tokenizer
+    assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert own.tokenizer.strings * 50 < len({w for x in texts for w in x.split(" ")})
+    # whatever stands side by side; with a cache that is full at once
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 40)
+    atoms = ["a", "Ing", "foo.", "'s", "12", "\u00fc", "\u00dfe", "\n", "\t", " ", "  ", "\u00a0", "\u3000", "<|endoftext|>", "\u0120", "\u010a", "\x85", "\x1c", "\u65e5", "|", "<", "", "\r\n", "\x00", "don't", "'", "\n\n", "\nFoo.", " \n", "\n "]
+    for k in range(8):
+        texts = [None if r.random() < 0.03 else "".join(r.choice(atoms) + (" " if r.random() < 0.6 else "") for _ in range(r.randint(0, 30))) for _ in range(200)]
+        flat, ends = own.encode(pa.array(texts, pa.string() if k % 2 else pa.large_string()), (7, 100, 5000)[k % 3])
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_components_around_hubs(spark, monkeypatch):
     from graphloom.llm import components as C
 
